@@ -2,44 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmine import rules
-from tripmine.functions.text import contains_any, text
+from tripmine.functions.text import any_of, evaluated, literal, lowered
 
+#: Lower-case text and sender the rules look at, each computed once per mail.
+WORDS = "lower(concat(coalesce(subject, ''), ' ', coalesce(body, '')))"
 
-def _inputs(subject, body, sender) -> tuple[Column, Column]:
-    words = F.lower(F.concat(text(subject), F.lit(" "), text(body)))
-    return words, F.lower(text(sender))
 
+def with_haystacks(mail: DataFrame) -> DataFrame:
+    return mail.withColumns({"__words": F.expr(WORDS), "__address": F.expr(lowered("sender"))})
 
-def airline(
-    subject="subject",
-    body="body",
-    sender="sender",
-    keywords=rules.AIRLINE_KEYWORDS,
-    domains=rules.AIRLINE_DOMAINS,
-) -> Column:
+
+def airline(keywords=rules.AIRLINE_KEYWORDS, domains=rules.AIRLINE_DOMAINS) -> Column:
     """Name of the first airline whose keyword is in the text, else of the
-    first whose domain is in the sender, else ``Unknown Airline``."""
-    words, address = _inputs(subject, body, sender)
-    by_word = [F.when(contains_any(words, keys), F.lit(name)) for name, keys in keywords]
-    by_domain = [F.when(address.contains(domain), F.lit(name)) for domain, name in domains]
-    return F.coalesce(*by_word, *by_domain, F.lit(rules.UNKNOWN_AIRLINE))
+    first whose domain is in the sender, else ``Unknown Airline``.
+
+    Reads the columns of :func:`with_haystacks`.
+    """
+    arms = [f"WHEN {any_of('__words', keys)} THEN {literal(name)}" for name, keys in keywords]
+    arms += [
+        f"WHEN {any_of('__address', [domain])} THEN {literal(name)}" for domain, name in domains
+    ]
+    return F.expr(f"CASE {' '.join(arms)} ELSE {literal(rules.UNKNOWN_AIRLINE)} END")
 
 
-def mentions(
+def with_airline(mail: DataFrame, name: str = "airline", **tables) -> DataFrame:
+    """Add the airline of every mail."""
+    return with_haystacks(mail).withColumn(name, airline(**tables)).drop("__words", "__address")
+
+
+def of_airline(
+    mail: DataFrame,
     name: str,
-    subject="subject",
-    body="body",
-    sender="sender",
     keywords=rules.AIRLINE_KEYWORDS,
     domains=rules.AIRLINE_DOMAINS,
-) -> Column:
-    """Cheap necessary test for ``airline(...) == name``: any of its own rules
-    applies. Put it before the full rule list in a filter."""
-    words, address = _inputs(subject, body, sender)
+) -> DataFrame:
+    """Mails of one airline.
+
+    Its own keywords and domains come first, as a cheap necessary test; only
+    mails that pass see the full rule list.
+    """
     own_words = [key for rule, keys in keywords if rule == name for key in keys]
     own_domains = [domain for domain, rule in domains if rule == name]
-    return contains_any(words, own_words) | contains_any(address, own_domains)
+    tests = [any_of("__words", own_words)] * bool(own_words)
+    tests += [any_of("__address", own_domains)] * bool(own_domains)
+    found = evaluated(with_haystacks(mail), [*mail.columns, "__words", "__address"])
+    return (
+        found.where(" OR ".join(tests) or "false")
+        .where(airline(keywords, domains) == name)
+        .drop("__words", "__address")
+    )

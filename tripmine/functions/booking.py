@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmine import rules
-from tripmine.functions.text import contains_any, evaluated, text
+from tripmine.functions.text import contains_any, evaluated, lowered, text
 
 
 def potential_flight(subject="subject", sender="sender") -> Column:
     """No excluded word in the subject, and an airline sender, a strong
     subject word or a flight number in the subject."""
-    title, address = F.lower(text(subject)), F.lower(text(sender))
+    title, address = lowered(subject), lowered(sender)
     return ~contains_any(title, rules.POTENTIAL_EXCLUSIONS) & (
         contains_any(address, rules.POTENTIAL_DOMAINS)
         | contains_any(title, rules.POTENTIAL_INDICATORS)

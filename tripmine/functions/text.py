@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Letters outside ASCII that patterns without case take for one of s, i, k.
+ODD_LETTERS = "ſıİK"
+
 
 def text(column: Column | str) -> Column:
     """A text field for matching; a missing field reads as empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def contains_any(column: Column, words: Sequence[str]) -> Column:
-    """True where ``column`` holds at least one of the literal ``words``."""
-    return reduce(lambda a, b: a | b, [column.contains(word) for word in shortest(words)])
+def literal(value: str) -> str:
+    """``value`` as an SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_of(sql: str, words: Sequence[str]) -> str:
+    """SQL condition: the text ``sql`` holds at least one of ``words``."""
+    return "(" + " OR ".join(f"contains({sql}, {literal(w)})" for w in shortest(words)) + ")"
+
+
+def contains_any(sql: str, words: Sequence[str]) -> Column:
+    """True where the SQL text holds at least one of the literal ``words``."""
+    return F.expr(any_of(sql, words))
 
 
 def shortest(words: Sequence[str]) -> list[str]:
@@ -24,6 +36,11 @@ def shortest(words: Sequence[str]) -> list[str]:
     return [w for w in words if not any(o != w and o in w for o in words)]
 
 
+def lowered(column: str) -> str:
+    """SQL text of ``column`` in lower case, empty if missing."""
+    return f"lower(coalesce({column}, ''))"
+
+
 def present(column: Column) -> Column:
     """Neither null nor empty."""
     return F.coalesce(column != "", F.lit(False))
@@ -35,6 +52,16 @@ def blank_to_null(column: Column | str) -> Column:
     return F.when(column.rlike(r"(?U)^\s*$"), None).otherwise(column)
 
 
+def may_match(source: str, folded: str, words: Sequence[str]) -> Column:
+    """Necessary test for patterns without case that contain one of ``words``.
+
+    ``folded`` holds ``source`` in lower case. Looking for plain words is
+    several times faster than the pattern, and sends most mail away. Texts
+    with one of the few odd letters that also match go to the pattern.
+    """
+    return F.expr(f"{any_of(folded, words)} OR {any_of(source, ODD_LETTERS)}")
+
+
 def first_by_pattern(
     df: DataFrame,
     name: str,
@@ -42,33 +69,37 @@ def first_by_pattern(
     patterns: Sequence[str],
     groups: int = 1,
     accept=None,
+    possible: Sequence[Column | None] = (),
 ) -> DataFrame:
     """Add ``name``: the groups of the first pattern that matches ``source``.
 
     A struct ``g1 .. gN``, null if no pattern matches. With ``accept`` a match
-    also has to pass that test, or the next pattern is tried.
+    also has to pass that test, or the next pattern is tried. ``possible`` may
+    give a cheap necessary test per pattern.
 
-    Every pattern is one projection of its own. Later ones run only on rows
-    the earlier ones left open, and because the optimizer does not inline a
-    costly column used more than once, each pattern scans the text once.
+    Every pattern is one projection of its own that adds a helper column
+    ``{name}_0`` and so on. Later patterns run only on rows the earlier ones
+    left open, and because the optimizer does not inline a costly column used
+    more than once, each pattern scans the text once.
     """
-    open_, found = F.lit(True), F.lit(None)
-    columns = []
+    open_, found = None, None
     for i, pattern in enumerate(patterns):
-        hit, groups_col = f"__{name}_m{i}", f"__{name}_g{i}"
-        columns += [hit, groups_col]
+        hit = f"{name}_{i}"
         # The whole match first; its groups are then read from this short text.
-        df = df.withColumn(hit, F.when(open_, F.regexp_extract(source, pattern, 0)))
+        match = F.regexp_extract(source, pattern, 0)
+        tests = [c for c in (open_, possible[i] if i < len(possible) else None) if c is not None]
+        if tests:
+            match = F.when(tests[0] if len(tests) == 1 else tests[0] & tests[1], match)
+        df = df.withColumn(hit, match)
         pieces = F.struct(
             *[F.regexp_extract(hit, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]
         )
-        df = df.withColumn(groups_col, F.when(F.col(hit) != "", pieces))
-        good = F.col(groups_col).isNotNull()
+        good = F.coalesce(F.col(hit) != "", F.lit(False))
         if accept is not None:
-            good = good & accept(F.col(groups_col))
-        open_ = open_ & ~good
-        found = F.when(good, F.col(groups_col)) if i == 0 else found.when(good, F.col(groups_col))
-    return df.withColumn(name, found).drop(*columns)
+            good = good & accept(pieces)
+        open_ = ~good if open_ is None else open_ & ~good
+        found = F.when(good, pieces) if found is None else found.when(good, pieces)
+    return df.withColumn(name, found)
 
 
 def evaluated(df: DataFrame, keep: Sequence[str]) -> DataFrame:

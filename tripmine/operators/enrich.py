@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmine import rules
-from tripmine.functions.text import blank_to_null, text
+from tripmine.functions.airline import with_haystacks
+from tripmine.functions.text import blank_to_null
 from tripmine.operators.extract import flight
 from tripmine.schemas import FLIGHT_FIELDS, FLIGHT_TEXT_FIELDS
 
@@ -72,24 +73,17 @@ def airline_by_rules(mail: DataFrame, keyword_rules: DataFrame, key: str = "seq"
         return _airline_by_join(mail, keyword_rules, key)
     rule = F.struct("priority", "field", "needle", "airline")
     table = keyword_rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar()
-    haystacks = mail.withColumns(_haystacks()).withColumn("__rules", table)
+    haystacks = with_haystacks(mail).withColumn("__rules", table)
 
     def applies(r: Column) -> Column:
-        return F.when(r["field"] == "text", F.col("__text").contains(r["needle"])).otherwise(
-            F.col("__sender").contains(r["needle"])
+        return F.when(r["field"] == "text", F.col("__words").contains(r["needle"])).otherwise(
+            F.col("__address").contains(r["needle"])
         )
 
     hit = F.get(F.filter("__rules", applies), F.lit(0))
     return haystacks.withColumn(
         "airline", F.coalesce(hit["airline"], F.lit(rules.UNKNOWN_AIRLINE))
-    ).drop("__text", "__sender", "__rules")
-
-
-def _haystacks() -> dict[str, Column]:
-    return {
-        "__text": F.lower(F.concat(text("subject"), F.lit(" "), text("body"))),
-        "__sender": F.lower(text("sender")),
-    }
+    ).drop("__words", "__address", "__rules")
 
 
 def _airline_by_join(mail: DataFrame, keyword_rules: DataFrame, key: str) -> DataFrame:
@@ -110,10 +104,11 @@ def _airline_by_join(mail: DataFrame, keyword_rules: DataFrame, key: str) -> Dat
             F.lit(field).alias("field"),
             F.array_distinct(F.regexp_extract_all(source, every_place, F.lit(1))).alias("runs"),
         )
-        for field, source in zip(("text", "sender"), _haystacks().values())
+        for field, source in (("text", "__words"), ("sender", "__address"))
     ]
     pieces = (
-        mail.select(key, F.inline(F.array(*runs)))
+        with_haystacks(mail)
+        .select(key, F.inline(F.array(*runs)))
         .select(key, "field", F.explode("runs").alias("run"))
         .withColumn("piece", F.substring("run", 1, shortest))
     )

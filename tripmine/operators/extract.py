@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmine import rules
-from tripmine.functions.airline import airline
-from tripmine.functions.text import evaluated, first_by_pattern, text
+from tripmine.functions.airline import airline, with_haystacks
+from tripmine.functions.text import evaluated, first_by_pattern, may_match, text
 from tripmine.schemas import FLIGHT_TEXT_FIELDS
 
 
@@ -51,14 +51,17 @@ def _with_vietjet(df: DataFrame, name: str, where: Column | None = None) -> Data
     return df.withColumn(name, F.when(done, flight)).select(*keep)
 
 
-def _with_generic(df: DataFrame, name: str, carrier: Column, where: Column | None = None):
-    """Add ``name``: the generic flight struct, or null."""
+def _with_generic(df: DataFrame, name: str, where: Column | None = None) -> DataFrame:
+    """Add ``name``: the generic flight struct, or null. Expects ``__carrier``
+    and the columns of :func:`with_haystacks`."""
     keep = [*df.columns, name]
     both = F.concat(text("body"), F.lit(" "), text("subject"))
     df = df.withColumn("__both", both if where is None else F.when(where, both))
+    # The first two patterns need one of these words; the third starts with the number.
+    named = may_match("__both", "__words", rules.GENERIC_NUMBER_WORDS)
     df = first_by_pattern(
         df, "__number", "__both", rules.GENERIC_NUMBER,
-        accept=lambda g: g["g1"].rlike(r"\p{L}"),
+        accept=lambda g: g["g1"].rlike(r"\p{L}"), possible=[named, named],
     )
     df = df.withColumn("__rest", F.when(F.col("__number").isNotNull(), F.col("__both")))
     df = first_by_pattern(
@@ -74,7 +77,7 @@ def _with_generic(df: DataFrame, name: str, carrier: Column, where: Column | Non
         _g("__airports", 1),
         _g("__airports", 2),
         F.coalesce(_g("__code"), F.lit("")),
-        carrier,
+        F.col("__carrier"),
     )
     return df.withColumn(name, F.when(done, flight)).select(*keep)
 
@@ -84,18 +87,21 @@ def vietjet_flight(mail: DataFrame, name: str = "flight") -> DataFrame:
     return evaluated(_with_vietjet(mail, name), [*mail.columns, name])
 
 
+def _with_carrier(mail: DataFrame) -> DataFrame:
+    return with_haystacks(mail).withColumn("__carrier", airline())
+
+
 def generic_flight(mail: DataFrame, name: str = "flight") -> DataFrame:
     """Four-language rules on every mail; they never find a departure time."""
-    return evaluated(_with_generic(mail, name, airline()), [*mail.columns, name])
+    return evaluated(_with_generic(_with_carrier(mail), name), [*mail.columns, name])
 
 
 def flight(mail: DataFrame, name: str = "flight") -> DataFrame:
     """VietJet rules for VietJet mail, generic rules for all the rest."""
-    keep = [*mail.columns, name]
-    df = mail.withColumn("__airline", airline())
-    df = _with_vietjet(df, "__vietjet", F.col("__airline") == rules.VIETJET)
-    df = _with_generic(df, "__generic", F.col("__airline"), F.col("__vietjet").isNull())
-    return evaluated(df.withColumn(name, F.coalesce("__vietjet", "__generic")), keep)
+    df = _with_vietjet(_with_carrier(mail), "__own", F.col("__carrier") == rules.VIETJET)
+    df = _with_generic(df, "__generic", F.col("__own").isNull())
+    df = df.withColumn(name, F.coalesce("__own", "__generic"))
+    return evaluated(df, [*mail.columns, name])
 
 
 def flights_only(df: DataFrame, name: str = "flight") -> DataFrame:
@@ -109,13 +115,15 @@ def tracked_flight(messages: DataFrame, full_text: Column | str = "text") -> Dat
     confidence and the counts it rests on. All rows are kept."""
     columns = list(messages.columns)
     full_text = F.col(full_text) if isinstance(full_text, str) else full_text
-    df = messages.withColumn("__text", full_text)
-    df = first_by_pattern(df, "__code", "__text", [rules.TRACKER_CODE])
+    df = messages.withColumn("__text", full_text).withColumn("__low", F.lower("__text"))
+    df = first_by_pattern(
+        df, "__code", "__text", [rules.TRACKER_CODE],
+        possible=[may_match("__text", "__low", rules.TRACKER_CODE_WORDS)],
+    )
     df = first_by_pattern(df, "__number", "__text", [rules.TRACKER_NUMBER], groups=2)
-    df = df.withColumn(
-        "flight_context_count",
-        F.coalesce(F.regexp_count("__text", F.lit(rules.TRACKER_CONTEXT)), F.lit(0)),
-    )
+    in_context = may_match("__text", "__low", rules.TRACKER_CONTEXT_WORDS)
+    count = F.regexp_count("__text", F.lit(rules.TRACKER_CONTEXT))
+    df = df.withColumn("flight_context_count", F.when(in_context, count).otherwise(0))
     has_code, has_number = F.col("__code").isNotNull(), F.col("__number").isNotNull()
     confidence = (
         F.when(has_code, rules.SCORE_CODE).otherwise(0.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripmine import rules
 from tripmine.functions.booking import potential_flight, valid_code, valid_number
 from tripmine.functions.scalars import rfc2822
-from tripmine.functions.text import contains_any, text
+from tripmine.functions.text import contains_any, lowered
 
 
 def look_forward(year: int, days: int = 365, start: str = "01-01") -> tuple[datetime, datetime]:
@@ -38,8 +38,8 @@ def dated_between(year: int, days: int = 365, start: str = "01-01", date="date")
 
 def search_strict() -> Column:
     """Travel word in the subject, or mail from one of four booking domains."""
-    return contains_any(F.lower(text("subject")), rules.SEARCH_STRICT_SUBJECT) | contains_any(
-        F.lower(text("sender")), rules.SEARCH_STRICT_SENDER
+    return contains_any(lowered("subject"), rules.SEARCH_STRICT_SUBJECT) | contains_any(
+        lowered("sender"), rules.SEARCH_STRICT_SENDER
     )
 
 
@@ -52,8 +52,8 @@ def search_tracker(
     mail: DataFrame, year: int, days: int = 365, limit: int = rules.TRACKER_BATCH_SIZE
 ) -> DataFrame:
     """First ``limit`` mails of the range with a travel sender or subject."""
-    hit = contains_any(F.lower(text("sender")), rules.SEARCH_V2_SENDER) | contains_any(
-        F.lower(text("subject")), rules.SEARCH_V2_SUBJECT
+    hit = contains_any(lowered("sender"), rules.SEARCH_V2_SENDER) | contains_any(
+        lowered("subject"), rules.SEARCH_V2_SUBJECT
     )
     return mail.where(sent_between(year, days) & hit).orderBy("seq").limit(limit)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tripmine import rules
-from tripmine.functions.airline import airline, mentions
+from tripmine.functions.airline import of_airline
 from tripmine.operators.dedup import best_record, by_departure
 from tripmine.operators.enrich import flight_or_extraction, itinerary_gate
 from tripmine.operators.extract import flight, flights_only, vietjet_flight
@@ -38,8 +38,7 @@ def datable_flights(
     listed. So mail of other airlines needs no pattern at all: one or two
     substring tests send it away.
     """
-    mail = mail.select(*[c for c in MAIL if c in mail.columns])
-    mail = mail.where(mentions(rules.VIETJET)).where(airline() == rules.VIETJET)
+    mail = of_airline(mail.select(*[c for c in MAIL if c in mail.columns]), rules.VIETJET)
     if decisions is not None:
         mail = itinerary_gate(mail, decisions, threshold)
     return flights_only(vietjet_flight(mail).select("seq", "flight"))

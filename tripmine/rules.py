@@ -130,6 +130,8 @@ GENERIC_NUMBER = [
     r"(?iU)(?:flight|voo|vuelo)\s*[:#]?\s*((?-i:[A-Z0-9]{2,3})\s*\d{1,4})",
     r"(?iU)\b((?-i:[A-Z0-9]{2,3})\s*\d{1,4})\b\s*(?:to|->|-)",
 ]
+# Every match of the first two number patterns holds one of these words.
+GENERIC_NUMBER_WORDS = ["flight", "voo", "vuelo"]
 GENERIC_AIRPORTS = [
     r"(?iU)(?:from|de|desde|origem|origen|departure|salida)\s*[:\-]?\s*"
     rf"(?:[^\n\r]{{0,50}}?)\(?\s*{IATA}\s*\)?\s*"
@@ -153,7 +155,9 @@ TRACKER_CODE = (
     r"(?:\s+(?:code|number|#|no|id))?\s*[:# ]*)([A-Z0-9]{6})(?!\w)"
 )
 TRACKER_NUMBER = r"(?U)(?:flight(?:\s+(?:number|#|no))?\s*[:# ]*)?([A-Z]{2})\s*(\d{1,4})(?!\d)"
-TRACKER_CONTEXT = r"(?i)(?:flight|boarding|departure|arrival)"
+TRACKER_CODE_WORDS = ["confirmation", "booking", "reference", "pnr", "reservation"]
+TRACKER_CONTEXT = r"(?iU)(?:flight|boarding|departure|arrival)"
+TRACKER_CONTEXT_WORDS = ["flight", "boarding", "departure", "arrival"]
 TRACKER_CONTEXT_STEP = 0.1
 TRACKER_CONTEXT_MAX = 0.2
 TRACKER_MIN_CONFIDENCE = 0.4

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripmine import rules
 from tripmine.functions import scalars
-from tripmine.functions.airline import airline
+from tripmine.functions.airline import of_airline, with_airline
 from tripmine.functions.booking import (
     has_flight_context,
     number_tokens,
@@ -232,7 +232,7 @@ AIRLINE = "CASE " + " ".join(
 
 @check("ext_airline", f"SELECT seq, {AIRLINE} AS airline FROM mail")
 def ext_airline(spark, sf_dir):
-    return t.mail(spark, sf_dir).select("seq", airline().alias("airline"))
+    return with_airline(t.mail(spark, sf_dir)).select("seq", "airline")
 
 
 def _airline_rules(spark):
@@ -257,7 +257,8 @@ TRUTH = """seq, t_number AS flight_number, t_date AS departure_datetime, '' AS a
     f"SELECT {TRUTH} FROM mail WHERE kind IN (0, 8, 9, 10)",
 )
 def ext_vietjet(spark, sf_dir):
-    ours = t.mail(spark, sf_dir).where(airline() == rules.VIETJET).select("seq", "subject", "body")
+    mail = t.mail(spark, sf_dir).select("seq", "subject", "sender", "body")
+    ours = of_airline(mail, rules.VIETJET)
     return extract.flights_only(extract.vietjet_flight(ours).select("seq", "flight"))
 
 
