@@ -41,11 +41,6 @@ def lowered(column: str) -> str:
     return f"lower(coalesce({column}, ''))"
 
 
-def present(column: Column) -> Column:
-    """Neither null nor empty."""
-    return F.coalesce(column != "", F.lit(False))
-
-
 def blank_to_null(column: Column | str) -> Column:
     """Text of white space only becomes null; other text stays as it is."""
     column = F.col(column) if isinstance(column, str) else column

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tripmine.functions.scalars import day_key, filled_fields
-from tripmine.functions.text import present
 from tripmine.schemas import FLIGHT_FIELDS
 from tripmine.workspace import as_table
 
 
 def valid_flight() -> Column:
-    """Flight number and departure are both filled."""
-    return present(F.col("flight_number")) & present(F.col("departure_datetime"))
+    """Flight number and departure are both filled. For use in a filter, where
+    null drops a row like false does, and where it can reach the scan."""
+    return (F.col("flight_number") != "") & (F.col("departure_datetime") != "")
 
 
 def best_record(flights: DataFrame, seq: str = "seq") -> DataFrame:
@@ -25,33 +25,25 @@ def best_record(flights: DataFrame, seq: str = "seq") -> DataFrame:
     An arg-min aggregate: every task reduces its rows to one per key before
     the shuffle, so a key that holds a third of all rows costs one row per task.
     """
-    key = {
-        "__number": F.col("flight_number"),
-        "__day": day_key(F.col("departure_datetime")),
-        "__from": F.col("departure_airport"),
-        "__to": F.col("arrival_airport"),
-    }
-    has = [c for c in flights.columns if c != seq]
-    fields = [c for c in FLIGHT_FIELDS if c in has]
+    key = ["flight_number", "departure_airport", "arrival_airport"]
+    by_day = flights.where(valid_flight()).withColumn("__day", day_key(F.col("departure_datetime")))
+    fields = [c for c in FLIGHT_FIELDS if c in flights.columns]
     rank = F.struct(-filled_fields(fields), F.col(seq))
-    return (
-        flights.where(valid_flight())
-        .groupBy(*[c.alias(n) for n, c in key.items()])
-        .agg(
-            F.min_by(F.struct(seq, *has), rank).alias("best"),
-            F.min(seq).alias("first_seq"),
-        )
-        .select("best.*", "first_seq")
-    )
+    best = _arg_min(by_day, [*key, "__day"], rank, F.min(seq).alias("first_seq"))
+    return best.drop("__day")
 
 
 def first_record(flights: DataFrame, keys=("id", "thread_id"), seq: str = "seq") -> DataFrame:
     """The earliest row of every (id, thread) pair."""
-    return (
-        flights.groupBy(*[F.col(k).alias(f"__{k}") for k in keys])
-        .agg(F.min_by(F.struct(*flights.columns), F.col(seq)).alias("first"))
-        .select("first.*")
-    )
+    return _arg_min(flights, list(keys), F.col(seq))
+
+
+def _arg_min(df: DataFrame, key: list[str], rank: Column, *extra: Column) -> DataFrame:
+    """The row of least ``rank`` per key. Key columns are not carried twice."""
+    rest = [c for c in df.columns if c not in key]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("__best"), *extra)
+    fields = [F.col(c) if c in key else F.col("__best")[c].alias(c) for c in df.columns]
+    return best.select(*fields, *[c for c in best.columns if c not in (*key, "__best")])
 
 
 def by_departure(flights: DataFrame) -> list[Column]:

@@ -11,8 +11,9 @@ from tripmine.functions.text import blank_to_null
 from tripmine.operators.extract import flight
 from tripmine.schemas import FLIGHT_FIELDS, FLIGHT_TEXT_FIELDS
 
-#: Rule tables up to this many rows travel as one value with every task.
+#: Rule tables up to this many rows and characters travel as one value.
 INLINE_RULES = 5_000
+INLINE_CHARS = 500_000
 
 
 def itinerary_gate(
@@ -20,6 +21,9 @@ def itinerary_gate(
 ) -> DataFrame:
     """Drop mails a decision calls no itinerary with enough confidence.
 
+    ``mail`` is any table with the mail's ``id``; rows without bodies are
+    cheaper to join, so plans gate what was extracted, not what was read.
+
     Only rejecting decisions can drop a mail, so just those enter the join, as
     an anti join on the mail id; mails without a decision stay.
     """
@@ -36,31 +40,33 @@ def normalised_extractions(extractions: DataFrame) -> DataFrame:
     return extractions.withColumns(cleaned)
 
 
-def flight_or_extraction(mail: DataFrame, extractions: DataFrame) -> DataFrame:
-    """The flight the rules find, else the external record of that mail.
-
-    Columns ``flight`` (eight fields; null if neither exists). The table holds
-    one row per mail id.
-    """
+def or_extraction(found: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Fill ``flight`` with the external record of the mail where the rules
+    found none. The table holds one row per mail id."""
     fields = [F.col(f).alias(f) for f in FLIGHT_FIELDS]
     external = normalised_extractions(extractions).select(
         F.col("email_id").alias("__email"), F.struct(*fields).alias("__external")
     )
-    found = flight(mail, "__found")
     own = F.struct(
-        *[F.col(f"__found.{f}").alias(f) for f in FLIGHT_TEXT_FIELDS],
+        *[F.col(f"flight.{f}").alias(f) for f in FLIGHT_TEXT_FIELDS],
         F.lit(None).cast("double").alias("confidence"),
     )
+    either = F.when(F.col("flight").isNotNull(), own).otherwise(F.col("__external"))
     return (
         found.join(external, F.col("id") == F.col("__email"), "left")
-        .withColumn(
-            "flight",
-            F.when(F.col("__found").isNotNull(), own).otherwise(F.col("__external")),
-        )
-        .drop("__found", "__email", "__external")
+        .withColumn("flight", either)
+        .drop("__email", "__external")
     )
 
 
+def flight_or_extraction(mail: DataFrame, extractions: DataFrame, keep=("seq", "id")) -> DataFrame:
+    """The flight the rules find in each mail, else its external record.
+
+    ``keep`` has to hold the id; bodies stay out of the join unless kept.
+    """
+    return or_extraction(flight(mail, keep=keep), extractions)
+
+
 def airline_by_rules(mail: DataFrame, keyword_rules: DataFrame, key: str = "seq") -> DataFrame:
     """Airline by a rule table ``(priority, field, needle, airline)``.
 
@@ -69,7 +75,9 @@ def airline_by_rules(mail: DataFrame, keyword_rules: DataFrame, key: str = "seq"
     without any join. A larger one is joined on the first characters of its
     needles, see :func:`_airline_by_join`.
     """
-    if keyword_rules.limit(INLINE_RULES + 1).count() > INLINE_RULES:
+    size = F.coalesce(F.sum(F.char_length("needle") + F.char_length("airline")), F.lit(0))
+    rows, chars = keyword_rules.agg(F.count("*"), size).first()
+    if rows > INLINE_RULES or chars > INLINE_CHARS:
         return _airline_by_join(mail, keyword_rules, key)
     rule = F.struct("priority", "field", "needle", "airline")
     table = keyword_rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar()

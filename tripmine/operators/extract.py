@@ -82,26 +82,34 @@ def _with_generic(df: DataFrame, name: str, where: Column | None = None) -> Data
     return df.withColumn(name, F.when(done, flight)).select(*keep)
 
 
-def vietjet_flight(mail: DataFrame, name: str = "flight") -> DataFrame:
-    """VietJet rules on every mail; ``flight`` is null where they do not apply."""
-    return evaluated(_with_vietjet(mail, name), [*mail.columns, name])
+def vietjet_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
+    """VietJet rules on every mail; ``flight`` is null where they do not apply.
 
-
-def _with_carrier(mail: DataFrame) -> DataFrame:
-    return with_haystacks(mail).withColumn("__carrier", airline())
+    ``keep`` names the mail columns to carry on; by default all, but jobs that
+    go on to shuffle should leave the body behind.
+    """
+    return evaluated(_with_vietjet(mail, name), _kept(mail, keep, name))
 
 
-def generic_flight(mail: DataFrame, name: str = "flight") -> DataFrame:
+def generic_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     """Four-language rules on every mail; they never find a departure time."""
-    return evaluated(_with_generic(_with_carrier(mail), name), [*mail.columns, name])
+    return evaluated(_with_generic(_with_carrier(mail), name), _kept(mail, keep, name))
 
 
-def flight(mail: DataFrame, name: str = "flight") -> DataFrame:
+def flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     """VietJet rules for VietJet mail, generic rules for all the rest."""
     df = _with_vietjet(_with_carrier(mail), "__own", F.col("__carrier") == rules.VIETJET)
     df = _with_generic(df, "__generic", F.col("__own").isNull())
     df = df.withColumn(name, F.coalesce("__own", "__generic"))
-    return evaluated(df, [*mail.columns, name])
+    return evaluated(df, _kept(mail, keep, name))
+
+
+def _with_carrier(mail: DataFrame) -> DataFrame:
+    return with_haystacks(mail).withColumn("__carrier", airline())
+
+
+def _kept(mail: DataFrame, keep, name: str) -> list[str]:
+    return [*(mail.columns if keep is None else keep), name]
 
 
 def flights_only(df: DataFrame, name: str = "flight") -> DataFrame:
@@ -110,10 +118,13 @@ def flights_only(df: DataFrame, name: str = "flight") -> DataFrame:
     return df.where(F.col(name).isNotNull()).select(*others, f"{name}.*")
 
 
-def tracked_flight(messages: DataFrame, full_text: Column | str = "text") -> DataFrame:
+def tracked_flight(
+    messages: DataFrame, full_text: Column | str = "text", keep=None
+) -> DataFrame:
     """Second-generation record: adds code, number, two-letter airline,
-    confidence and the counts it rests on. All rows are kept."""
-    columns = list(messages.columns)
+    confidence and the counts it rests on. All rows are kept, and of the
+    message the columns in ``keep``, by default all."""
+    columns = list(messages.columns if keep is None else keep)
     full_text = F.col(full_text) if isinstance(full_text, str) else full_text
     df = messages.withColumn("__text", full_text).withColumn("__low", F.lower("__text"))
     df = first_by_pattern(

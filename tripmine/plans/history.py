@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from tripmine import rules
 from tripmine.functions.airline import of_airline
 from tripmine.operators.dedup import best_record, by_departure
-from tripmine.operators.enrich import flight_or_extraction, itinerary_gate
+from tripmine.operators.enrich import itinerary_gate, or_extraction
 from tripmine.operators.extract import flight, flights_only, vietjet_flight
 
-MAIL = ["seq", "id", "subject", "sender", "date", "body"]
+#: What goes on from a mail once its flight is extracted.
+SLIM = ("seq", "id")
 
 
 def found_flights(
@@ -19,12 +20,18 @@ def found_flights(
     extractions: DataFrame | None = None,
     threshold: float = rules.ITINERARY_SKIP_THRESHOLD,
 ) -> DataFrame:
-    """All flights found in mail, before duplicates are removed."""
-    mail = mail.select(*[c for c in MAIL if c in mail.columns])
+    """All flights found in mail, before duplicates are removed.
+
+    Extraction runs where the mail is read. Decisions and extractions then
+    meet rows of two columns and a flight; no body is ever shuffled, and both
+    joins use the same split by id.
+    """
+    found = flight(mail, keep=SLIM)
     if decisions is not None:
-        mail = itinerary_gate(mail, decisions, threshold)
-    found = flight(mail) if extractions is None else flight_or_extraction(mail, extractions)
-    return flights_only(found.select("seq", "flight"))
+        found = itinerary_gate(found, decisions, threshold)
+    if extractions is not None:
+        found = or_extraction(found, extractions)
+    return flights_only(found).drop("id")
 
 
 def datable_flights(
@@ -35,13 +42,14 @@ def datable_flights(
     """The part of :func:`found_flights` that can enter a history.
 
     Only the VietJet rules find a departure, and a flight without one is never
-    listed. So mail of other airlines needs no pattern at all: one or two
+    listed. So mail of other airlines needs no pattern at all: a few
     substring tests send it away.
     """
-    mail = of_airline(mail.select(*[c for c in MAIL if c in mail.columns]), rules.VIETJET)
+    mail = of_airline(mail.select("seq", "id", "subject", "sender", "body"), rules.VIETJET)
+    found = flights_only(vietjet_flight(mail, keep=SLIM))
     if decisions is not None:
-        mail = itinerary_gate(mail, decisions, threshold)
-    return flights_only(vietjet_flight(mail).select("seq", "flight"))
+        found = itinerary_gate(found, decisions, threshold)
+    return found.drop("id")
 
 
 def history(

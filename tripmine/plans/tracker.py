@@ -15,15 +15,17 @@ from tripmine.sources.messages import tracker_text
 
 def track(messages: DataFrame) -> DataFrame:
     """Unique flights of raw messages, which carry a ``seq`` for their order."""
-    found = tracker_gate(tracked_flight(tracker_text(messages)))
-    return first_record(found.drop("text"))
+    read = tracker_text(messages)
+    keep = [c for c in read.columns if c != "text"]
+    return first_record(tracker_gate(tracked_flight(read, keep=keep)))
 
 
 def track_mail(mail: DataFrame, year: int, days: int = 365) -> DataFrame:
     """The same for stored mail: search, extract, gate, first of each id."""
     hits = search_tracker(mail, year, days)
     searched = F.concat(text("subject"), F.lit("\n"), text("body"))
-    return first_record(tracker_gate(tracked_flight(hits, searched)))
+    keep = [c for c in hits.columns if c != "body"]
+    return first_record(tracker_gate(tracked_flight(hits, searched, keep)))
 
 
 def statistics(flights: DataFrame, **names) -> dict[str, DataFrame]:

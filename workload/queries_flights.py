@@ -172,4 +172,4 @@ def tracker_search_v2(spark, sf_dir):
     mail = t.mail(spark, sf_dir).drop("labels", "date")
     found = tracker.track_mail(mail, 1996)
     found = found.withColumn("flight_context_count", F.col("flight_context_count").cast("bigint"))
-    return found.drop("sent_at", "subject", "sender", "body")
+    return found.drop("sent_at", "subject", "sender")

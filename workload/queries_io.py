@@ -193,9 +193,8 @@ WITH_COUNT = """SELECT seq, id, subject, sender, date, body, CAST(year(sent_at)
 
 
 def _with_metadata(spark, path):
-    return store.load_store(spark, path).join(
-        F.broadcast(store.store_metadata(spark, path).select("year", "email_count")), "year"
-    )
+    counts = store.store_metadata(spark, path).select("year", "email_count")
+    return store.load_store(spark, path).join(counts, "year")
 
 
 @check("sink_email_batch", f"{WITH_COUNT} FROM mail")

@@ -259,7 +259,7 @@ TRUTH = """seq, t_number AS flight_number, t_date AS departure_datetime, '' AS a
 def ext_vietjet(spark, sf_dir):
     mail = t.mail(spark, sf_dir).select("seq", "subject", "sender", "body")
     ours = of_airline(mail, rules.VIETJET)
-    return extract.flights_only(extract.vietjet_flight(ours).select("seq", "flight"))
+    return extract.flights_only(extract.vietjet_flight(ours, keep=["seq"]))
 
 
 @check(
@@ -270,13 +270,13 @@ def ext_generic(spark, sf_dir):
     mail = t.mail(spark, sf_dir)
     no_vietjet = ~text("subject").rlike("(?i)viet ?jet|vjet") | text("subject").contains("partner")
     others = mail.where(no_vietjet).select("seq", "subject", "sender", "body")
-    return extract.flights_only(extract.generic_flight(others).select("seq", "flight"))
+    return extract.flights_only(extract.generic_flight(others, keep=["seq"]))
 
 
 @check("ext_flight", f"SELECT {TRUTH} FROM mail WHERE t_number IS NOT NULL")
 def ext_flight(spark, sf_dir):
     mail = t.mail(spark, sf_dir).select("seq", "subject", "sender", "body")
-    return extract.flights_only(extract.flight(mail).select("seq", "flight"))
+    return extract.flights_only(extract.flight(mail, keep=["seq"]))
 
 
 def _blank(column: str) -> str:
@@ -303,7 +303,7 @@ FALLBACK = f"""full_flights AS (SELECT mail.seq, mail.id,
 def ext_with_fallback(spark, sf_dir):
     mail = t.mail(spark, sf_dir).select("seq", "id", "subject", "sender", "body")
     found = enrich.flight_or_extraction(mail, t.extractions(spark, sf_dir))
-    return extract.flights_only(found.select("seq", "flight"))
+    return extract.flights_only(found).drop("id")
 
 
 @check(
@@ -343,7 +343,7 @@ V2_COLUMNS = """confirmation_code, flight_number, airline, confidence, has_confi
 def _tracked(spark, sf_dir):
     mail = t.mail(spark, sf_dir).select("seq", "id", "subject", "body")
     full = F.concat(text("subject"), F.lit("\n"), text("body"))
-    tracked = extract.tracked_flight(mail, full).drop("subject", "body")
+    tracked = extract.tracked_flight(mail, full, ["seq", "id"])
     return tracked.withColumn("flight_context_count", F.col("flight_context_count").cast("bigint"))
 
 
