@@ -181,7 +181,7 @@ SELECT 1000000000000 + doc_id, concat('d', CAST(doc_id AS STRING)), concat('d',
   -1, NULL, {nothing}
 FROM documents
 UNION ALL
-SELECT 2000000000000 + conv_id * 100000 + turn, concat('c', CAST(conv_id * 100000 + turn AS STRING)),
+SELECT 2000000000000 + conv_id * 100 + turn, concat('c', CAST(conv_id * 100 + turn AS STRING)),
   concat('c', CAST(conv_id AS STRING)), {day.format("conv_id")}, concat('Re: chat ', role),
   concat(role, '@example.com'), NULL, text, 'INBOX', -2, NULL, {nothing}
 FROM conversations"""
@@ -252,7 +252,8 @@ def _derived(spark: SparkSession, sf_dir: str, query: str, **views: DataFrame) -
     frames = dict(views)
     for name in ("orders", "documents", "conversations"):
         if re.search(rf"FROM {name}\b", query):
-            frames[name] = given(spark, sf_dir, name)
+            # One small file per table: spread its rows over all cores.
+            frames[name] = given(spark, sf_dir, name).repartition(32)
     query = re.sub(r"FROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in frames else m[0], query)
     return spark.sql(query, **frames)
 
