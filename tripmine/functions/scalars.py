@@ -16,6 +16,10 @@ RFC2822 = (
 )
 
 
+# First and last millisecond of the years 1 to 9999.
+EPOCH_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
+
+
 def rfc2822(date: Column) -> Column:
     """RFC 2822 date text to an instant; other text gives null."""
     day, month, time, offset = (F.regexp_extract(date, RFC2822, g) for g in (1, 2, 3, 4))
@@ -27,8 +31,10 @@ def rfc2822(date: Column) -> Column:
 
 
 def epoch_timestamp(ms: Column) -> Column:
-    """Epoch milliseconds as text to an instant; bad text gives null."""
-    return F.timestamp_millis(F.trim(ms).try_cast("bigint"))
+    """Epoch milliseconds as text to an instant; bad text, and what lies
+    outside the years 1 to 9999, gives null."""
+    number = F.trim(ms).try_cast("bigint")
+    return F.timestamp_millis(F.when(number.between(*EPOCH_RANGE), number))
 
 
 def epoch_minute(ms: Column) -> Column:

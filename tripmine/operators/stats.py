@@ -55,7 +55,7 @@ def funnel(mail: DataFrame) -> DataFrame:
     """Mails, potential flight mails and confirmed bookings in one pass."""
     flagged = mail.select(potential_flight().alias("potential"), "subject", "body")
     only = {c: F.when(F.col("potential"), F.col(c)) for c in ("subject", "body")}
-    detailed = with_booking_details(flagged.withColumns(only))
+    detailed = with_booking_details(flagged.withColumns(only), keep=["potential"])
     confirmed = F.col("booking_details.confidence") >= BOOKING_MIN_CONFIDENCE
     return detailed.agg(
         F.count("*").alias("total"),
