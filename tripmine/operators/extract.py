@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripmine import rules
-from tripmine.functions.airline import airline, with_haystacks
+from tripmine.functions.airline import airline, is_airline, with_haystacks
 from tripmine.functions.text import evaluated, first_by_pattern, may_match, text
 from tripmine.schemas import FLIGHT_TEXT_FIELDS
 
@@ -52,8 +52,8 @@ def _with_vietjet(df: DataFrame, name: str, where: Column | None = None) -> Data
 
 
 def _with_generic(df: DataFrame, name: str, where: Column | None = None) -> DataFrame:
-    """Add ``name``: the generic flight struct, or null. Expects ``__carrier``
-    and the columns of :func:`with_haystacks`."""
+    """Add ``name``: the generic flight struct, or null. Expects the columns of
+    :func:`with_haystacks`; the airline is looked up for found flights only."""
     keep = [*df.columns, name]
     both = F.concat(text("body"), F.lit(" "), text("subject"))
     df = df.withColumn("__both", both if where is None else F.when(where, both))
@@ -77,7 +77,7 @@ def _with_generic(df: DataFrame, name: str, where: Column | None = None) -> Data
         _g("__airports", 1),
         _g("__airports", 2),
         F.coalesce(_g("__code"), F.lit("")),
-        F.col("__carrier"),
+        airline(),
     )
     return df.withColumn(name, F.when(done, flight)).select(*keep)
 
@@ -93,21 +93,18 @@ def vietjet_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFram
 
 def generic_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     """Four-language rules on every mail; they never find a departure time."""
-    return evaluated(_with_generic(_with_carrier(mail), name), _kept(mail, keep, name))
+    return evaluated(_with_generic(with_haystacks(mail), name), _kept(mail, keep, name))
 
 
 def flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     """VietJet rules for VietJet mail, generic rules for all the rest."""
-    df = _with_vietjet(_with_carrier(mail), "__own", F.col("__carrier") == rules.VIETJET)
+    df = with_haystacks(mail).withColumn("__is_own", is_airline(rules.VIETJET))
+    df = _with_vietjet(df, "__own", F.col("__is_own"))
     df = _with_generic(df, "__generic", F.col("__own").isNull())
     df = df.withColumn(name, F.coalesce("__own", "__generic"))
     return evaluated(df, _kept(mail, keep, name))
 
 
-def _with_carrier(mail: DataFrame) -> DataFrame:
-    return with_haystacks(mail).withColumn("__carrier", airline())
-
-
 def _kept(mail: DataFrame, keep, name: str) -> list[str]:
     return [*(mail.columns if keep is None else keep), name]
 
