@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +47,14 @@ def blank_to_null(column: Column | str) -> Column:
     return F.when(column.rlike(r"(?U)^\s*$"), None).otherwise(column)
 
 
-def may_match(source: str, folded: str, words: Sequence[str]) -> Column:
-    """Necessary test for patterns without case that contain one of ``words``.
+def may_match(source: str, folded: str, words: Sequence[str]) -> str:
+    """SQL: necessary test for patterns without case that hold one of ``words``.
 
     ``folded`` holds ``source`` in lower case. Looking for plain words is
     several times faster than the pattern, and sends most mail away. Texts
     with one of the few odd letters that also match go to the pattern.
     """
-    return F.expr(f"{any_of(folded, words)} OR {any_of(source, ODD_LETTERS)}")
+    return f"({any_of(folded, words)} OR {any_of(source, ODD_LETTERS)})"
 
 
 def first_by_pattern(
@@ -63,38 +63,37 @@ def first_by_pattern(
     source: str,
     patterns: Sequence[str],
     groups: int = 1,
-    accept=None,
-    possible: Sequence[Column | None] = (),
+    accept: Callable[[list[str]], str] | None = None,
+    possible: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``name``: the groups of the first pattern that matches ``source``.
 
-    A struct ``g1 .. gN``, null if no pattern matches. With ``accept`` a match
-    also has to pass that test, or the next pattern is tried. ``possible`` may
-    give a cheap necessary test per pattern.
+    A struct ``g1 .. gN``, null if no pattern matches. ``accept`` may turn the
+    SQL of the groups into a test a match has to pass, or the next pattern is
+    tried. ``possible`` may give a cheap necessary test per pattern.
 
     Every pattern is one projection of its own that adds a helper column
     ``{name}_0`` and so on. Later patterns run only on rows the earlier ones
     left open, and because the optimizer does not inline a costly column used
     more than once, each pattern scans the text once.
     """
-    open_, found = None, None
+    tried, arms = [], []
     for i, pattern in enumerate(patterns):
-        hit = f"{name}_{i}"
+        hit, quoted = f"{name}_{i}", literal(pattern)
         # The whole match first; its groups are then read from this short text.
-        match = F.regexp_extract(source, pattern, 0)
-        tests = [c for c in (open_, possible[i] if i < len(possible) else None) if c is not None]
+        match = f"regexp_extract({source}, {quoted}, 0)"
+        tests = [f"NOT ({good})" for good in tried] + list(possible[i : i + 1])
         if tests:
-            match = F.when(tests[0] if len(tests) == 1 else tests[0] & tests[1], match)
-        df = df.withColumn(hit, match)
-        pieces = F.struct(
-            *[F.regexp_extract(hit, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]
-        )
-        good = F.coalesce(F.col(hit) != "", F.lit(False))
+            match = f"CASE WHEN {' AND '.join(tests)} THEN {match} END"
+        df = df.withColumn(hit, F.expr(match))
+        found = [f"regexp_extract({hit}, {quoted}, {g})" for g in range(1, groups + 1)]
+        good = f"coalesce({hit} <> '', false)"
         if accept is not None:
-            good = good & accept(pieces)
-        open_ = ~good if open_ is None else open_ & ~good
-        found = F.when(good, pieces) if found is None else found.when(good, pieces)
-    return df.withColumn(name, found)
+            good = f"{good} AND {accept(found)}"
+        tried.append(good)
+        fields = ", ".join(f"'g{g}', {value}" for g, value in enumerate(found, 1))
+        arms.append(f"WHEN {good} THEN named_struct({fields})")
+    return df.withColumn(name, F.expr(f"CASE {' '.join(arms)} END"))
 
 
 def evaluated(df: DataFrame, keep: Sequence[str]) -> DataFrame:

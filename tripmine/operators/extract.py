@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tripmine import rules
 from tripmine.functions.airline import airline, is_airline, with_haystacks
-from tripmine.functions.text import evaluated, first_by_pattern, may_match, text
+from tripmine.functions.text import evaluated, first_by_pattern, literal, may_match, text
 from tripmine.schemas import FLIGHT_TEXT_FIELDS
 
+LETTER = r"\p{L}"
+
 
 def _flight(number, departure, origin, destination, code, carrier) -> Column:
     values = (number, departure, F.lit(""), origin, destination, code, carrier)
@@ -61,12 +63,12 @@ def _with_generic(df: DataFrame, name: str, where: Column | None = None) -> Data
     named = may_match("__both", "__words", rules.GENERIC_NUMBER_WORDS)
     df = first_by_pattern(
         df, "__number", "__both", rules.GENERIC_NUMBER,
-        accept=lambda g: g["g1"].rlike(r"\p{L}"), possible=[named, named],
+        accept=lambda g: f"{g[0]} RLIKE {literal(LETTER)}", possible=[named, named],
     )
     df = df.withColumn("__rest", F.when(F.col("__number").isNotNull(), F.col("__both")))
     df = first_by_pattern(
         df, "__airports", "__rest", rules.GENERIC_AIRPORTS, groups=2,
-        accept=lambda g: g["g1"] != g["g2"],
+        accept=lambda g: f"{g[0]} <> {g[1]}",
     )
     done = F.col("__airports").isNotNull()
     df = df.withColumn("__rest", F.when(done, F.col("__rest")))
@@ -129,7 +131,7 @@ def tracked_flight(
         possible=[may_match("__text", "__low", rules.TRACKER_CODE_WORDS)],
     )
     df = first_by_pattern(df, "__number", "__text", [rules.TRACKER_NUMBER], groups=2)
-    in_context = may_match("__text", "__low", rules.TRACKER_CONTEXT_WORDS)
+    in_context = F.expr(may_match("__text", "__low", rules.TRACKER_CONTEXT_WORDS))
     count = F.regexp_count("__text", F.lit(rules.TRACKER_CONTEXT))
     df = df.withColumn("flight_context_count", F.when(in_context, count).otherwise(0))
     has_code, has_number = F.col("__code").isNotNull(), F.col("__number").isNotNull()
