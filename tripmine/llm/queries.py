@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import chat, decontaminate
+from tripmine.llm import chat, decontaminate, token_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,17 @@ def _shingles(k: int) -> str:
         ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END)"""
 
 
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_shingles(4)} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+e AS (SELECT a.doc_id AS p, b.doc_id AS q FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS p, doc_id AS c FROM d UNION SELECT e.q, r.c FROM r JOIN e ON e.p = r.p)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, (SELECT min(c) FROM r WHERE r.p = d.doc_id)) AS component_id FROM d""")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, {_shingles(5)} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 b AS (SELECT item_id, {_shingles(5)} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
