@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import chat, decontaminate, token_groups
+from tripmine.llm import chat, decontaminate, kneser_ney, token_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("mark")
