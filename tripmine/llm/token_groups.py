@@ -2,11 +2,11 @@
 
 1. Texts with equal shingle sets are one *set*, so copies cost one row per task.
 2. The tokens of the matrix are *cells*. A set that takes part in size class ``c``
-   has its hash space cut into ``k + R`` blocks; a cell is the hash of all its
+   has its hash space cut into ``k + r`` blocks; a cell is the hash of all its
    shingles in one block. Two sets that link differ in at most ``k`` shingles, so
-   at least ``R`` of their blocks are equal. Cells that one set alone has are dropped.
-3. Similar sets are partitioned into groups: those with the same smallest shingle,
-   in parts of about ``GROUP`` members.
+   at least ``r`` of their blocks are equal. Cells that one set alone has are dropped.
+3. Similar sets are partitioned into groups: each goes with the most frequent of its
+   cells, in parts of about ``GROUP`` members.
 4. The matrix holds each group's cell union. A query set is counted against it: the
    number of its cells in the union bounds what it shares with any member, and only
    groups that reach the bound are opened.
@@ -37,16 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmine.llm.graph import components
+from tripmine.llm.ids import sized
 from tripmine.llm.shingles import common, mixed, rows_of, shingle_hashes
 from tripmine.workspace import as_table
 
-#: Blocks that must be equal beyond those that may differ.
-R = 8
 #: Members of a group, and queries that one opening takes at a time.
 GROUP, QUERIES = 128, 512
-SETS = "doc_id bigint, n_shingles bigint, sid bigint, low bigint, need int, class int"
-#: Ids up to this number (16 MB) are broadcast to fetch texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+SETS = "doc_id bigint, n_shingles bigint, sid bigint, need int, class int"
 
 
 @dataclass(frozen=True)
@@ -101,7 +98,8 @@ def cells(shingles: np.ndarray, c: int, measure: Measure) -> tuple[np.ndarray, n
     k = measure.differing(bounds(c + 1) - 1)
     if k == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 1
-    m = k + R
+    equal = 8 + k // 4
+    m = k + equal
     block = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     full = block[starts]
@@ -109,7 +107,7 @@ def cells(shingles: np.ndarray, c: int, measure: Measure) -> tuple[np.ndarray, n
     empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full)
     salt = np.uint64(c * 1_000_003 + 11)
     name = lambda at, what: mixed(what ^ mixed(at * np.uint64(2_654_435_761) + salt)).view(np.int64)
-    return name(full, sums), name(empty, np.zeros(len(empty), np.uint64)), R - len(empty)
+    return name(full, sums), name(empty, np.zeros(len(empty), np.uint64)), equal - len(empty)
 
 
 def link_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -118,7 +116,7 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     sets = as_table(docs.mapInArrow(_scan_sets(measure), SETS), "sets")
     first = sets.where("n_shingles > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.first("low").alias("low"), F.first("need").alias("need")
+        F.min("doc_id").alias("rep"), F.first("need").alias("need")
     )
     first = as_table(first, "first")
     links = _links(docs, sets, first, measure)
@@ -152,7 +150,11 @@ def _links(docs: DataFrame, sets: DataFrame, first: DataFrame, measure: Measure)
         ).where("a < b AND asked").select("cell", "sid", "own"),
         "cells",
     )
-    active = as_table(shared.select("sid").distinct().join(first, "sid").select("sid", "low", "need"), "active")
+    # a set goes with the most frequent of its cells, so a family falls into few groups
+    often = shared.groupBy("cell").agg(F.count("*").alias("holders"))
+    low = F.max(F.struct("holders", "cell"))["cell"].alias("low")
+    active = shared.join(often, "cell").groupBy("sid").agg(low)
+    active = as_table(active.join(first, "sid").select("sid", "low", "need"), "active")
     sizes = active.groupBy("low").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("members") / GROUP)).cast("int")
     groups = as_table(
@@ -163,10 +165,12 @@ def _links(docs: DataFrame, sets: DataFrame, first: DataFrame, measure: Measure)
         F.min("sid").alias("one"), F.max("sid").alias("last")
     )
     asked = shared.where("own").select("cell", "sid").distinct()
+    enough = asked.groupBy("sid").agg(F.count("*").alias("n")).join(groups.select("sid", "need"), "sid")
+    asked = asked.join(enough.where("n >= need").select("sid"), "sid", "left_semi")
     # a group in which the query itself is the only holder of the cell has nothing to open
     met = asked.join(matrix, "cell").where("NOT (one = sid AND last = sid)")
     overlap = met.groupBy("sid", "g").agg(F.count("*").alias("n"))
-    opened = overlap.join(groups.select("sid", "need"), "sid").where(f"n >= need OR need <= 0 AND n >= {R}")
+    opened = overlap.join(groups.select("sid", "need"), "sid").where("n >= greatest(need, 1)")
     opened = as_table(opened.select("sid", "g"), "opened")
     return _open(docs, first, groups, opened, measure)
 
@@ -180,9 +184,8 @@ def _open(docs: DataFrame, first: DataFrame, groups: DataFrame, opened: DataFram
         "sid", "g", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("pieces")).cast("int").alias("piece"), F.lit(True).alias("query")
     )
     places = as_table(members.unionByName(asking), "places")
-    wanted = as_table(places.select("sid").distinct().join(first, "sid"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = as_table(places.select("sid").distinct().join(first, "sid").select("sid", "rep"), "wanted")
+    wanted = sized(wanted)
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("sid", "text")
     tokens = as_table(texts.mapInArrow(_tokens(measure.words), "sid bigint, tokens binary"), "tokens")
     tokens = tokens.groupBy("sid").agg(F.first("tokens").alias("tokens"))
@@ -193,19 +196,19 @@ def _open(docs: DataFrame, first: DataFrame, groups: DataFrame, opened: DataFram
 
 
 def _scan_sets(measure: Measure):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    names = ["n_shingles", "sid", "low", "need", "class"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["n_shingles", "sid", "need", "class"]
 
     def row(text: str | None) -> tuple:
         s = shingle_hashes(text, measure.words)
         if not len(s):
-            return 0, None, None, None, None
+            return 0, None, None, None
         c = measure.size_class(len(s))
-        return len(s), set_id(s), int(s[:1].view(np.int64)[0]), cells(s, c, measure)[2], c
+        return len(s), set_id(s), cells(s, c, measure)[2], c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            columns = list(zip(*(row(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 5
+            columns = list(zip(*(row(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
 
