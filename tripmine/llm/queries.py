@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import chat, decontaminate, kneser_ney, token_groups
+from tripmine.llm import chat, decontaminate, fuzzy_lines, kneser_ney, token_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.drop("mark")
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
