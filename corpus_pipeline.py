@@ -9,18 +9,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import decontaminate
+from tripmine.llm import decontaminate, fuzzy_lines, kneser_ney, mixing, token_groups
+from tripmine.llm.ids import sized
 from tripmine.workspace import as_table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity stays under their language's threshold."""
+    return kneser_ney.without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are kept elsewhere; texts and sizes change, rows stay."""
+    return fuzzy_lines.dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies (five words, 0.8); rows without words stay."""
+    found = token_groups.link_components(docs, words=5, percent=80)
+    spare = found.where("doc_id <> component_id AND n_shingles > 0").select(F.col("doc_id").alias("_spare")).distinct()
+    spare = sized(as_table(spare, "spare"))
+    return docs.join(spare, docs["doc_id"].cast("bigint") == spare["_spare"], "left_anti")
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = as_table(decontaminate.contained_items(docs, items).select("doc_id").distinct(), "held")
-    return docs.join(held, "doc_id", "left_anti")
+    held = decontaminate.contained_items(docs, items).select(F.col("doc_id").alias("_held")).distinct()
+    held = sized(as_table(held, "held"))
+    return docs.join(held, docs["doc_id"].cast("bigint") == held["_held"], "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least one copy in the mixture, with domain posteriors, rate and copies."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0")
 
 
-STAGES = [("decontaminate", without_benchmark)]
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_copies", near_copies),
+    ("decontaminate", without_benchmark),
+    ("mixture", mixture),
+]
 
 #: Perplexity and fitted rates have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import chat, decontaminate, fuzzy_lines, kneser_ney, token_groups
+from tripmine.llm import chat, decontaminate, fuzzy_lines, kneser_ney, mixing, token_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
+@query()
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "p_good", "p_poor", "p_toxic", "n_tokens", "rate", "copies")
