@@ -141,6 +141,11 @@ def main_text(html: str | None) -> str:
     best = max(range(len(elements)), key=lambda e: (score[e] * (1.5 if elements[e][0] in ("article", "main") else 1), -e))
     if not size[best]:
         return ""
+    # an article cut into sections is whole one level up
+    while elements[best][0] not in ("article", "main") and (up := elements[best][1]) > 0:
+        if elements[up][0] in ("body", "html") or linked[up] > 0.33 * size[up]:
+            break
+        best = up
     kept, up = {best}, elements[best][1]
     for e, (tag, parent, _) in enumerate(elements):
         if parent == up and e != best and size[e]:

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmine.llm import chat, decontaminate, fuzzy_lines, html_text, impact_index, kneser_ney, mixing, token_groups
+from tripmine.llm import (
+    chat,
+    decontaminate,
+    fuzzy_lines,
+    html_text,
+    impact_index,
+    kneser_ney,
+    licenses,
+    mixing,
+    token_groups,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,3 +152,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = impact_index.quantised(table(spark, sf_dir, "embeddings"))
     return impact_index.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
