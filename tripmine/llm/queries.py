@@ -16,6 +16,7 @@ from tripmine.llm import (
     kneser_ney,
     licenses,
     mixing,
+    sanitise,
     token_groups,
 )
 
@@ -157,3 +158,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    counts = ("n_email", "n_ip", "n_card", "n_phone")
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
