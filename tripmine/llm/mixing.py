@@ -191,7 +191,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     if scored is None:
         nothing = [F.lit(None).cast("double").alias(c) for c in mine[: len(DOMAINS)]]
         return docs.select("*", *nothing, _tokens(F.col("text")).alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("bigint").alias("copies"))
-    scored = scored.withColumn("_cell", cell(F.col("_p")))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # texts are read into words once; cells and copies come from what is written here
+    scored = as_table(scored.select("*", cell(F.col("_p")).alias("_cell"), chance.alias("_chance")), "scored")
     sums = [F.sum(F.col("_tokens") * F.col("_p")[k]).alias(f"s{k}") for k in range(len(DOMAINS))]
     mean = [F.avg(F.col("_p")[k]).alias(f"m{k}") for k in range(len(DOMAINS))]
     cells = scored.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"), *sums, *mean)
@@ -199,8 +201,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     table = rates(as_table(cells.select("_cell", "tokens", *p), "cells"), weights, size)
     # at most (STEPS + 1) * (STEPS + 2) / 2 rows
     out = scored.join(F.broadcast(as_table(table.select("_cell", F.col("r").alias("_rate")), "fitted")), "_cell")
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies = F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("bigint")
+    copies = F.floor("_rate") + (F.col("_chance") < F.col("_rate") - F.floor("_rate")).cast("bigint")
     return out.select(
         *docs.columns,
         *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)),
