@@ -8,16 +8,17 @@ disclosure of entity e by term t is
     PMI(e; t) / IC(e) = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)),
 
 1 if t never occurs without e and 0 if they are independent; n(e) and n(e,t) count
-different contexts, n(t) different lines and N all lines, so copies count once. Terms
-seen in at least ``SUPPORT`` different contexts of an entity are generalised (written
-as ``[term]``) from a disclosure of ``GENERALISE`` on, and removed from ``REMOVE`` on,
-in the entity's contexts. Entities themselves become ``[email]`` and so on.
+contexts, n(t) lines with the term (at least n(e,t)) and N all lines, repeated ones
+as often as they occur. Terms seen in at least ``SUPPORT`` different contexts of an
+entity are generalised (written as ``[term]``) from a disclosure of ``GENERALISE`` on,
+and removed from ``REMOVE`` on, in the entity's contexts. Copies of one context are no
+support. Entities themselves become ``[email]`` and so on.
 
 Counts are partial sums that meet by key. Only terms with enough support beside an
 entity are counted over the corpus. A hot entity or term is one row per task.
 
 Null texts are read as empty; empty texts have no entities. Rows are judged one by
-one (repeated rows repeat, but count once for disclosure); a null id is kept. With no
+one (repeated rows repeat); a null id is kept. With no
 term above a threshold only the patterns act. Other columns are ignored.
 """
 
@@ -139,20 +140,23 @@ def disclosures(docs: DataFrame) -> DataFrame:
     """``entity, term, disclosure`` of every term at or above the lower threshold."""
     seen = docs.select("text").mapInArrow(_contexts, "entity string, context string, terms array<string>")
     seen = seen.select("entity", F.xxhash64("context").alias("at"), "terms")
-    seen = as_table(seen.dropDuplicates(["entity", "at"]), "contexts")
-    of_entity = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(f"n_e >= {SUPPORT}")
-    pairs = seen.join(of_entity, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(f"n_et >= {SUPPORT}")
-    pairs = as_table(pairs, "pairs")
+    seen = seen.groupBy("entity", "at").agg(F.count("*").alias("n"), F.min("terms").alias("terms"))
+    seen = as_table(seen, "contexts")
+    of_entity = seen.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("of"))
+    of_entity = of_entity.where(f"of >= {SUPPORT}").drop("of")
+    pairs = seen.join(of_entity, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("of"))
+    pairs = as_table(pairs.where(f"of >= {SUPPORT}").drop("of"), "pairs")
     wanted = as_table(pairs.select("term").distinct(), "wanted")
     schema = "entity string, term string, disclosure double"
     if not wanted.take(1):
         return docs.sparkSession.createDataFrame([], schema)
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.xxhash64("line").alias("at"), "line")
-    number = lines.agg(F.approx_count_distinct("at", 0.01)).first()[0]
-    words = lines.select("at", F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}]+"))).alias("term"))
-    of_term = words.join(sized(wanted), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log(F.col("n_et") * float(number) / (F.col("n_e") * F.col("n_t")))
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    number = max(docs.select(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0, 2)
+    words = lines.select(F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}]+"))).alias("term"))
+    # counted where the lines are read; one row per term and task is moved
+    of_term = words.join(sized(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    pmi = F.log(F.col("n_et") * float(number) / (F.col("n_e") * F.greatest("n_t", "n_et")))
     scored = pairs.join(of_term, "term").withColumn("disclosure", pmi / F.log(float(number) / F.col("n_e")))
     return as_table(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "disclosures")
 
