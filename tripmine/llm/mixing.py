@@ -187,7 +187,10 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     """All columns of ``docs`` (with ``doc_id, text``) and ``p_good, p_poor, p_toxic, n_tokens, rate, copies``."""
     mine = [f"p_{d}" for d in DOMAINS] + ["n_tokens", "rate", "copies"]
     docs = docs.select(*(F.col(c) for c in docs.columns if c not in mine))
-    scored = posteriors(docs, labels)
+    # columns passed on travel as one, so that their names meet no name used here
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    passed = {c: F.col("_row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")}
+    scored = posteriors(docs.select("doc_id", "text", *([F.struct(*others).alias("_row")] if others else [])), labels)
     if scored is None:
         nothing = [F.lit(None).cast("double").alias(c) for c in mine[: len(DOMAINS)]]
         return docs.select("*", *nothing, _tokens(F.col("text")).alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("bigint").alias("copies"))
@@ -203,7 +206,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHT
     out = scored.join(F.broadcast(as_table(table.select("_cell", F.col("r").alias("_rate")), "fitted")), "_cell")
     copies = F.floor("_rate") + (F.col("_chance") < F.col("_rate") - F.floor("_rate")).cast("bigint")
     return out.select(
-        *docs.columns,
+        *(passed.get(c, F.col(c)) for c in docs.columns),
         *(F.col("_p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)),
         F.col("_tokens").alias("n_tokens"),
         F.col("_rate").alias("rate"),

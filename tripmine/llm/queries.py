@@ -132,7 +132,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "p_good", "p_poor", "p_toxic", "n_tokens", "rate", "copies")
 
 
