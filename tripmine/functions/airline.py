@@ -55,5 +55,5 @@ def with_airline(mail: DataFrame, name: str = "airline", **tables) -> DataFrame:
 
 def of_airline(mail: DataFrame, name: str, **tables) -> DataFrame:
     """Mails of one airline."""
-    found = evaluated(with_haystacks(mail), [*mail.columns, "__words", "__address"])
+    found = evaluated(with_haystacks(mail), [*mail.columns, "__words", "__address"], mail.columns)
     return found.where(is_airline(name, **tables)).drop("__words", "__address")

@@ -110,4 +110,4 @@ def with_booking_details(df: DataFrame, subject="subject", body="body", keep=Non
             ),
         ),
     )
-    return evaluated(df, columns)
+    return evaluated(df, columns, [c for c in columns if c != "booking_details"])

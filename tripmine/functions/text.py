@@ -96,12 +96,15 @@ def first_by_pattern(
     return df.withColumn(name, F.expr(f"CASE {' '.join(arms)} END"))
 
 
-def evaluated(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def evaluated(df: DataFrame, keep: Sequence[str], untouched: Sequence[str] = ()) -> DataFrame:
     """Fix the columns of ``keep`` as computed values.
 
     A filter on a computed column is normally pushed under the projection,
     which then runs its patterns a second time. Passing the columns through
     ``inline`` of a one-element array stops that: filters stay above and each
-    pattern runs once per row.
+    pattern runs once per row. Columns that are ``untouched`` input go beside the
+    fence: filters on them reach the scan, and unused ones are not read.
     """
-    return df.select(F.inline(F.array(F.struct(*keep))))
+    beside = [c for c in keep if c in untouched]
+    computed = [c for c in keep if c not in untouched]
+    return df.select(*beside, F.inline(F.array(F.struct(*computed)))).select(*keep)

@@ -90,12 +90,12 @@ def vietjet_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFram
     ``keep`` names the mail columns to carry on; by default all, but jobs that
     go on to shuffle should leave the body behind.
     """
-    return evaluated(_with_vietjet(mail, name), _kept(mail, keep, name))
+    return evaluated(_with_vietjet(mail, name), _kept(mail, keep, name), _untouched(mail, name))
 
 
 def generic_flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     """Four-language rules on every mail; they never find a departure time."""
-    return evaluated(_with_generic(with_haystacks(mail), name), _kept(mail, keep, name))
+    return evaluated(_with_generic(with_haystacks(mail), name), _kept(mail, keep, name), _untouched(mail, name))
 
 
 def flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
@@ -104,7 +104,11 @@ def flight(mail: DataFrame, name: str = "flight", keep=None) -> DataFrame:
     df = _with_vietjet(df, "__own", F.col("__is_own"))
     df = _with_generic(df, "__generic", F.col("__own").isNull())
     df = df.withColumn(name, F.coalesce("__own", "__generic"))
-    return evaluated(df, _kept(mail, keep, name))
+    return evaluated(df, _kept(mail, keep, name), _untouched(mail, name))
+
+
+def _untouched(mail: DataFrame, name: str) -> list[str]:
+    return [c for c in mail.columns if c != name]
 
 
 def _kept(mail: DataFrame, keep, name: str) -> list[str]:

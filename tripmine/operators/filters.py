@@ -44,18 +44,21 @@ def search_strict() -> Column:
 
 
 def search_relaxed(mail: DataFrame) -> Column:
-    """In the inbox; all mail where no labels are stored."""
-    return F.array_contains("labels", "INBOX") if "labels" in mail.columns else F.lit(True)
+    """In the inbox; mail without a column of labels is an error."""
+    if "labels" not in mail.columns:
+        raise ValueError("the inbox search needs labels")
+    return F.array_contains("labels", "INBOX")
 
 
 def search_tracker(
-    mail: DataFrame, year: int, days: int = 365, limit: int = rules.TRACKER_BATCH_SIZE
+    mail: DataFrame, year: int, days: int = 365, limit: int | None = None
 ) -> DataFrame:
-    """First ``limit`` mails of the range with a travel sender or subject."""
+    """Mails of the range with a travel sender or subject; the first ``limit`` of them if one is given."""
     hit = contains_any(lowered("sender"), rules.SEARCH_V2_SENDER) | contains_any(
         lowered("subject"), rules.SEARCH_V2_SUBJECT
     )
-    return mail.where(sent_between(year, days) & hit).orderBy("seq").limit(limit)
+    found = mail.where(sent_between(year, days) & hit)
+    return found if limit is None else found.orderBy("seq").limit(limit)
 
 
 def potential(mail: DataFrame) -> DataFrame:

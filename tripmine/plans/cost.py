@@ -13,11 +13,11 @@ def cost_plan(
     *,
     input_rate: float | None,
     output_rate: float | None,
-    max_body_chars: int | None = rules.MAX_BODY_CHARS,
+    max_body_chars: int | None = None,
     classify_max_body_chars: int | None = None,
     overhead_tokens: int = rules.PROMPT_OVERHEAD_TOKENS,
 ) -> DataFrame:
-    """Estimates of classification and extraction over the same mail."""
+    """Estimates of classification and extraction over the same mail, whole bodies unless a cap is given."""
     shared = {
         "input_rate": input_rate,
         "output_rate": output_rate,

@@ -20,9 +20,9 @@ def track(messages: DataFrame) -> DataFrame:
     return first_record(tracker_gate(tracked_flight(read, keep=keep)))
 
 
-def track_mail(mail: DataFrame, year: int, days: int = 365) -> DataFrame:
+def track_mail(mail: DataFrame, year: int, days: int = 365, limit: int | None = None) -> DataFrame:
     """The same for stored mail: search, extract, gate, first of each id."""
-    hits = search_tracker(mail, year, days)
+    hits = search_tracker(mail, year, days, limit)
     searched = F.concat(text("subject"), F.lit("\n"), text("body"))
     keep = [c for c in hits.columns if c != "body"]
     return first_record(tracker_gate(tracked_flight(hits, searched, keep)))

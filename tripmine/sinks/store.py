@@ -49,8 +49,12 @@ def store_metadata(spark: SparkSession, store: str) -> DataFrame:
 
 
 def save_json_lines(emails: DataFrame, folder: str, year: int, batch_id: str) -> str:
-    """Exchange form of a batch: one mail per line, splittable on reading."""
-    path = f"{folder}/emails_{year}_{batch_id}.json"
+    """Exchange form of a batch: one mail per line, splittable on reading.
+
+    Read it with ``load_single_mails(..., multi_line=False)``; its name is none
+    that ``load_emails`` takes for a batch of envelopes.
+    """
+    path = f"{folder}/mails_{year}_{batch_id}.jsonl"
     emails.withColumnRenamed("sender", "from").write.json(path)
     return path
 

@@ -111,6 +111,8 @@ def available_years(spark: SparkSession, folder: str) -> DataFrame:
 def batch_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """What the envelopes say about themselves, one row per file."""
     found = _envelopes(spark, _pattern(folder, None))
+    if found is None:
+        found = spark.createDataFrame([], EMAIL_BATCH).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
     return found.where(F.col("metadata").isNotNull()).select(
         batch_name(F.col("_metadata.file_path")).alias("batch_file"), "metadata.*"
     )

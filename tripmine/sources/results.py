@@ -30,4 +30,6 @@ def latest_results(spark: SparkSession, folder: str) -> str:
         .load(f"{folder}/flights_*.json")
     )
     name = batch_name(F.col("path"))
-    return f"{folder}/{files.agg(F.max_by(name, 'modificationTime')).first()[0]}"
+    # files of one time: the greatest name
+    latest = files.agg(F.max_by(name, F.struct("modificationTime", "path"))).first()[0]
+    return f"{folder}/{latest}"

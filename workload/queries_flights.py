@@ -165,7 +165,7 @@ def tracker_statistics_v2(spark, sf_dir):
 @check(
     "tracker_search_v2",
     f"""WITH hits AS (SELECT seq, id, thread_id, concat(coalesce(subject, ''), chr(10), coalesce(body, '')) AS txt
-      FROM mail WHERE {IN_1996} AND {V2_SEARCH} ORDER BY seq LIMIT 100), {v2_sql('hits')}
+      FROM mail WHERE {IN_1996} AND {V2_SEARCH}), {v2_sql('hits')}
     SELECT seq, id, thread_id, {V2_COLUMNS} FROM v2 WHERE confidence >= 0.4e0""",
 )
 def tracker_search_v2(spark, sf_dir):

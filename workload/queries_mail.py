@@ -77,10 +77,9 @@ V2_SEARCH = f"""({_any(SENDER, rules.SEARCH_V2_SENDER)} OR {_any(SUBJECT, rules.
 
 @check(
     "flt_search_v2",
-    f"SELECT seq, id FROM mail WHERE {IN_1996} AND {V2_SEARCH} ORDER BY seq LIMIT 100",
+    f"SELECT seq, id FROM mail WHERE {IN_1996} AND {V2_SEARCH}",
 )
 def flt_search_v2(spark, sf_dir):
-    # The limit of 100 is the fetch size of the search itself.
     return filters.search_tracker(t.mail(spark, sf_dir), 1996).select("seq", "id")
 
 
@@ -529,11 +528,13 @@ def set_cost_by_task(spark, sf_dir):
     )
 
 
-@check("cost_plan", BOTH)
+WHOLE = f"{cost_sql('Classification', None, 60, 200)} UNION ALL {cost_sql('Extraction', None, 300, 200)}"
+
+
+@check("cost_plan", f"SELECT * EXCLUDE (max_body_chars) FROM ({WHOLE})")
 def cost_plan(spark, sf_dir):
-    return cost_plans.cost_plan(
-        t.mail(spark, sf_dir), input_rate=1.25, output_rate=10.0, classify_max_body_chars=1000
-    )
+    plan = cost_plans.cost_plan(t.mail(spark, sf_dir), input_rate=1.25, output_rate=10.0)
+    return plan.drop("max_body_chars")  # null: whole bodies
 
 
 @check(
