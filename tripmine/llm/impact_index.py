@@ -1,15 +1,15 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
 Vectors are cut into shards and queries into blocks, both of bounded size; every
-query meets every shard, as an exact answer over dense vectors demands. Within a
-shard the index has, for each dimension, postings in order of their quantised
-impact (the integer component). A query takes them by falling gain, the amount by
-which a posting's product exceeds the least of its dimension: high components
-first where the query is positive, low ones first where it is negative. After each
-level of gain an upper bound of every vector is its gain so far plus the largest
-gain left in each dimension. Reading stops only when all but a few vectors are
-proven to be below the k-th lower bound; the few are scored exactly from their
-vectors. Shard results merge by a window per query.
+query meets every shard, as an exact answer over dense vectors demands. A posting is
+one component of one vector; its impact (the integer component) is quantised to the
+power of two below its magnitude. The postings of one quantised impact are a segment,
+and a shard's segments are processed by falling impact, each for all queries of a
+block still open at once (vectors are dense, so a segment is added by one matrix
+product). After each segment the score of a vector is known up to the norm of the
+query times the norm of what is left of the vector (Cauchy-Schwarz). A query stops
+when all but a few vectors are proven to be below its k-th lower bound; the few are
+scored exactly from their vectors. Shard results merge by a window per query.
 
 Null vectors, and those with null or non-finite components, take no part, nor do
 rows without an id; repeated ids are each a row of their own (and no answer to a
@@ -26,60 +26,58 @@ from pyspark.sql import functions as F
 
 from tripmine.workspace import as_table
 
-SHARD, BLOCK, LEVELS = 8192, 2048, 12
+SHARD, BLOCK = 8192, 8192
+#: Queries that share a matrix product: 16 MB of scores.
+TOGETHER = 256
 ANSWER = "query_id bigint, vec_id bigint, score bigint"
 
 
 class Index:
-    """Postings of one shard, per dimension in order of impact."""
+    """Postings of one shard by quantised impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.impact = np.take_along_axis(vectors, self.order.T, axis=0).T.copy()
+        self.values = vectors.astype(float)
+        self.impact = np.frexp(self.values)[1]
+        self.levels = np.unique(self.impact[vectors != 0])[::-1]
+        self.norm = np.linalg.norm(self.values, axis=1)
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors other than ``own``."""
+    def possible(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Places of the vectors that may be among the k best, for each query."""
         n = len(self.ids)
-        gained = np.zeros(n)
-        other = self.ids != own
-        ends = self.impact[:, [0, -1]] * query[:, None]
-        least = ends.min(axis=1)
-        largest = ends.max(axis=1) - least
-        done = np.zeros(len(query), np.int64)
-        used = np.flatnonzero(largest > 0)
-        left = largest.astype(float)
         few = max(4 * k, n // 16)
-        maybe = np.flatnonzero(other)
-        for level in range(1, LEVELS + 1):
-            bar = largest.max(initial=0) * (1 - level / LEVELS)
-            ids, gains = [], []
-            for d in used[left[used] >= bar]:
-                q = query[d]
-                # components whose gain reaches the bar are one end of the dimension's postings
-                row = self.impact[d]
-                if q > 0:
-                    to = n - np.searchsorted(row, np.ceil((bar + least[d]) / q), "left")
-                    part = slice(n - to, n - done[d])
-                else:
-                    to = np.searchsorted(row, np.floor((bar + least[d]) / q), "right")
-                    part = slice(done[d], to)
-                if to > done[d]:
-                    ids.append(self.order[d, part])
-                    gains.append(row[part] * q - least[d])
-                    done[d] = to
-                rest = row[n - to - 1] if q > 0 and to < n else row[to] if to < n else None
-                left[d] = rest * q - least[d] if rest is not None else 0.0
-            if ids:
-                gained += np.bincount(np.concatenate(ids), np.concatenate(gains), n)
-            if len(maybe) > k:
-                bound = np.partition(gained[maybe], len(maybe) - k)[len(maybe) - k]
-                maybe = maybe[gained[maybe] + left.sum() >= bound]
-            if len(maybe) <= few:
+        asked = queries.astype(float)
+        size = np.linalg.norm(asked, axis=1)[:, None]
+        # a query's own row never counts
+        gained = np.where(own[:, None] == self.ids, -np.inf, 0.0)
+        found = [np.flatnonzero(row == 0) for row in gained]
+        still = np.flatnonzero([len(x) > few for x in found])
+        gained = gained[still]
+        for level in self.levels:
+            if not len(still):
                 break
-        score = self.vectors[maybe] @ query
-        best = np.lexsort((self.ids[maybe], -score))[:k]
-        return self.ids[maybe][best], score[best]
+            gained += asked[still] @ np.where(self.impact == level, self.values, 0.0).T
+            rest = np.linalg.norm(np.where(self.impact < level, self.values, 0.0), axis=1)
+            # the last term covers rounding of the products
+            slack = size[still] * (rest + 1e-9 * self.norm)
+            bar = np.partition(gained - slack, n - k, axis=1)[:, n - k]
+            maybe = gained + slack >= bar[:, None]
+            closed = (np.count_nonzero(maybe, axis=1) <= few) | (level == self.levels[-1])
+            for i in np.flatnonzero(closed):
+                found[still[i]] = np.flatnonzero(maybe[i])
+            still, gained = still[~closed], gained[~closed]
+        return found
+
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+        """Ids and scores of the k best vectors other than its own, for each query."""
+        found = []
+        for i in range(0, len(own), TOGETHER):
+            part = slice(i, i + TOGETHER)
+            for one, query, maybe in zip(own[part], queries[part], self.possible(own[part], queries[part], k), strict=True):
+                score = self.vectors[maybe] @ query
+                best = np.lexsort((self.ids[maybe], -score))[:k]
+                found.append((np.full(len(best), one), self.ids[maybe][best], score[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
 def _search(k: int):
@@ -87,13 +85,9 @@ def _search(k: int):
         asking = rows["query"].to_numpy(bool)
         vectors = np.stack(rows["v"].to_numpy()).astype(np.int64)
         ids = rows["vec_id"].to_numpy()
-        found = []
         if asking.any() and not asking.all():
-            index = Index(ids[~asking], vectors[~asking])
-            for own, query in zip(ids[asking], vectors[asking], strict=True):
-                near, score = index.top(own, query, k)
-                found.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+            return Index(ids[~asking], vectors[~asking]).top(ids[asking], vectors[asking], k)
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
     return run
 
