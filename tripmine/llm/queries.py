@@ -16,7 +16,10 @@ from tripmine.llm import (
     kneser_ney,
     licenses,
     mixing,
+    prefix_trie,
+    presence_masks,
     sanitise,
+    suffix_groups,
     token_groups,
 )
 
@@ -165,3 +168,70 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.sanitise(table(spark, sf_dir, "documents"))
     counts = ("n_email", "n_ip", "n_card", "n_phone")
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT i, item_id, term, count(*) AS q FROM (SELECT i, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+g AS (SELECT i, item_id, r, doc_id,
+        sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total)))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence_masks.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i,
+        unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS x FROM d WHERE len(w) >= 50),
+f AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY x) AS f FROM u),
+g AS (SELECT r, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM f WHERE f < doc_id GROUP BY r),
+k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+        CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, list_transform(range(1, len(w) + 1),
+            lambda i: list_contains(gone, i))), lambda z: NOT z[2]), lambda z: z[1]) END AS kept FROM d LEFT JOIN g USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+    sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""")
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_groups.dedup_passages(table(spark, sf_dir, "documents"), words=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS x, length(text) AS chars FROM t),
+c AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS xs, list(chars ORDER BY turn NULLS FIRST, x) AS cs FROM k GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii((conv_id::VARCHAR)[i])::BIGINT),
+        lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, b)),
+        4294967295), 4294967295) % 6 AS h FROM c),
+r AS (SELECT a.conv_id, coalesce(b.xs[1:a.h], []) || a.xs[a.h + 1:] AS xs, coalesce(b.cs[1:a.h], []) || a.cs[a.h + 1:] AS cs
+      FROM h a LEFT JOIN c b ON b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, len(xs) AS size, unnest(range(0, len(xs) + 1)) AS depth,
+        unnest(list_transform(range(0, len(xs) + 1), lambda d: array_to_string(xs[1:d], ''))) AS node,
+        unnest([0] || cs) AS chars FROM r),
+n AS (SELECT depth, node, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+      FROM m GROUP BY depth, node),
+p AS (SELECT n.*, (SELECT count(*) FROM n ch WHERE ch.depth = n.depth + 1 AND left(ch.node, 32 * n.depth::INTEGER) = n.node) AS n_children
+      FROM n),
+b AS (SELECT a.depth, a.node, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.chars)::BIGINT AS saved_tokens
+      FROM p a JOIN p d ON d.depth >= a.depth AND left(d.node, 32 * a.depth::INTEGER) = a.node GROUP BY a.depth, a.node)
+SELECT p.conv_id, p.depth, u.conv_id AS parent_conv_id, p.n_convs, p.n_children, b.n_leaves, b.saved_tokens, p.ends_sha256
+FROM p JOIN b USING (depth, node) LEFT JOIN p u ON u.depth = p.depth - 1 AND u.node = left(p.node, 32 * (p.depth - 1)::INTEGER)""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    donor = F.col("conv_id") - F.col("conv_id") % 100
+    kept = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    return prefix_trie.trie(prefix_trie.with_donor_starts(convs, donor, kept, most=5))
