@@ -1,6 +1,7 @@
 """Joins with external tables, and cost estimates."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,17 +61,39 @@ def rule_table(spark, extra=0):
 
 
 @pytest.mark.parametrize("limit", [10_000, 10])
-def test_rule_table_of_any_size(spark, mails, monkeypatch, limit):
-    monkeypatch.setattr(enrich, "INLINE_RULES", limit)
+def test_rule_table_of_any_size(spark, mails, limit):
     rows = [(f"{w} and iberia", "news@aa.com", "x" * 50) for _, keys in rules.AIRLINE_KEYWORDS for w in keys]
     rows += [("vjet", "x", "air"), ("Nothing", "a@O.DELTA.com", None), ("None", None, None), ("", "", "iber\nia")]
     mail = mails(*rows)
     expected = {r.seq: r.airline for r in with_airline(mail).collect()}
-    found = enrich.airline_by_rules(mail, rule_table(spark, 30))
+    found = enrich.airline_by_rules(mail, rule_table(spark, 30), inline_rules=limit)
     assert {r.seq: r.airline for r in found.collect()} == expected
     assert expected[len(rows) - 4] == "VietJet Air" and expected[len(rows) - 1] == "Unknown Airline"
 
 
+def test_rules_of_one_priority_and_odd_needles(spark, mails):
+    """Inline and indexed tables pick the same rule, whatever priorities and needles are."""
+    table = [(1, "sender", "y.com", "Zed"), (1, "text", "needle", "Alpha"), (1, "text", "need", "Beta"), (0, "text", "vn", None),
+             (0, "text", "vnx", "Gamma"), (2, "text", "", "Any"), (None, "text", "nullprio", "First"), (0, "text", None, "Never"),
+             (0, "body", "o", "Never"), (3, "text", "x" * 150, "Long"), (1, "text", "😀é", "Sign"), (1, "text", "p" * 64, "Run")]
+    keyword_rules = spark.createDataFrame(table, "priority int, field string, needle string, airline string")
+    rng = random.Random(4)
+    parts = ["needle", "need", "vn", "vnx", "nullprio", "x" * 149, "x" * 150, "😀", "é", "p" * 63, "p" * 64, " ", "nee", "dle", "\n", "q" * 61]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randrange(4))), rng.choice(("a@y.com", "b@z.com", None)),
+             "".join(rng.choice(parts) for _ in range(rng.randrange(5)))) for _ in range(150)]
+    mail = mails(*rows, ("s", "x", "q" * 100_000 + "needle"), (None, None, None))
+    none_any = keyword_rules.where("needle <> ''")
+    for some in (keyword_rules, none_any, keyword_rules.where("needle = ''"), keyword_rules.limit(0)):
+        inline = {r.seq: r.airline for r in enrich.airline_by_rules(mail, some).collect()}
+        assert {r.seq: r.airline for r in enrich.airline_by_rules(mail, some, inline_rules=-1).collect()} == inline
+    held = {r.seq: r.airline for r in enrich.airline_by_rules(mail, none_any, inline_rules=-1).collect()}
+    usable = sorted((p if p is not None else -1, f, n, a) for p, f, n, a in table if f in ("text", "sender") and n)
+    for i, (subject, sender, body) in enumerate(rows):
+        where = {"text": f"{subject} {body}".lower(), "sender": (sender or "").lower()}
+        hit = next((a for _, f, n, a in usable if n in where[f]), None)
+        assert held[i] == (hit or "Unknown Airline"), rows[i]
+
+
 def test_of_airline_is_a_filter_on_the_airline(mails):
     mail = mails(("vietjet", "x", None), ("latam", "x@vietjetair.com", None), ("s", "x@vietjetair.com", None), ("s", "x", "b"))
     expected = {r.seq for r in with_airline(mail).where(F.col("airline") == rules.VIETJET).collect()}
@@ -104,7 +127,10 @@ def test_cost_plan_rows(mails):
     mail = mails(("s", "x", "b" * 10_000)).withColumn("date", F.lit("d"))
     rows = {r.label: r for r in cost_plan(mail, input_rate=None, output_rate=None).collect()}
     assert set(rows) == {"Classification", "Extraction"}
-    assert rows["Extraction"].max_body_chars == 4000 and rows["Classification"].total_output_tokens == 60
+    assert rows["Extraction"].max_body_chars is None and rows["Classification"].total_output_tokens == 60
+    capped = {r.label: r for r in cost_plan(mail, input_rate=None, output_rate=None, max_body_chars=4000).collect()}
+    assert capped["Extraction"].max_body_chars == capped["Classification"].max_body_chars == 4000
+    assert rows["Extraction"].total_input_tokens - capped["Extraction"].total_input_tokens == 1500
 
 
 def test_requests(mails):

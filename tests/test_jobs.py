@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tripmine.operators.dedup import by_departure
 from tripmine.plans import jobs
+from tripmine.sinks.flights import load_statistics, load_tracked
+from tripmine.sinks.seen import SeenIds
 from workload import tables
 
 BODY = "Flight No. VJ 123\nFrom: SGN To: HAN\nDate: {}\n"
@@ -58,9 +60,24 @@ def test_gate_job_remembers_ids(spark, mails, tmp_path):
     assert again is None and more.count() == 0
 
 
+def test_gate_job_with_remembered_ids(spark, mails, tmp_path):
+    mail = mails(("Boarding pass", "x", "flight VN123"), ("Note", "x", "hello"), ("Boarding pass", "x", "flight VN124"))
+    store, seen = str(tmp_path / "store"), SeenIds(spark, str(tmp_path / "seen"), buckets=4)
+    _, ids = jobs.gate_job(mail.where("seq < 2"), store, "one", 2026, seen)
+    assert {r.id for r in ids.collect()} == {"m0", "m1"}
+    metadata, ids = jobs.gate_job(mail, store, "two", 2026, seen)
+    assert metadata.first().email_count == 1 and [r.id for r in ids.collect()] == ["m2"]
+    again, more = jobs.gate_job(mail, store, "three", 2026, seen)
+    assert again is None and more.count() == 0
+
+
 def test_tracker_job(spark, sf_dir, tmp_path):
     jobs.tracker_job(tables.raw_messages(spark, sf_dir), str(tmp_path))
     flights = spark.read.parquet(str(tmp_path / "flights"))
-    assert spark.read.parquet(str(tmp_path / "totals")).first().total_flights == flights.count()
-    months = spark.read.parquet(str(tmp_path / "months")).agg(F.sum("flights")).first()[0]
-    assert months == flights.count()
+    statistics = load_statistics(spark, str(tmp_path))
+    counts = {r.metric: r.n for r in statistics.groupBy("metric").agg(F.sum("flights").alias("n")).collect()}
+    assert counts["flights"] == counts["month"] == flights.count()
+    march = load_tracked(spark, str(tmp_path), "March")
+    assert march.count() == statistics.where("name = 'March'").first().flights
+    scan = march._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in scan

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripmine.functions.scalars import rfc2822
 from tripmine.operators.filters import dated_between, look_forward
 from tripmine.sinks import flights as sinks
-from tripmine.sinks import store
+from tripmine.sinks import envelopes, store
 from tripmine.sources import batches, messages, results
 
 
@@ -149,6 +149,50 @@ def test_store(spark, mails, tmp_path):
     assert store.store_metadata(spark, path).count() == 2
 
 
+def test_empty_batch_leaves_nothing(spark, mails, tmp_path):
+    path = str(tmp_path / "store")
+    mail = mails(("a", "x", "b"))
+    assert store.save_batch(mail.where("false"), path, "one", 2025) is None
+    assert store.load_store(spark, path).collect() == [] and store.load_store(spark, path, 2025).count() == 0
+    assert store.store_metadata(spark, path).collect() == []
+    assert store.save_batch(mail, path, "one", 2025).first().email_count == 1
+    assert store.load_store(spark, path).count() == 1
+
+
+def test_envelopes_are_packed_in_order(spark, tmp_path):
+    rows = [(i, f"m{i}", "s" * (i % 7), None if i % 3 else "x", "d", "é\n\"" * (i % 50)) for i in range(500)]
+    mail = spark.createDataFrame(rows, "seq bigint, id string, subject string, sender string, date string, body string")
+    folder = str(tmp_path)
+    path = envelopes.save_envelopes(mail.repartition(7), folder, 2025, "one", fetch_date="now", file_bytes=4000)
+    loaded = batches.load_emails(spark, folder, year=2025).orderBy("seq").collect()
+    assert [tuple(r)[2:] for r in loaded] == [r[1:] for r in rows]
+    assert {r.batch_file for r in loaded} == {"emails_2025_one.json"}
+    files = list((tmp_path / "emails_2025_one.json").rglob("*.json"))
+    assert len(files) > 10
+    for f in files:
+        data = json.loads(f.read_text())
+        assert data["metadata"] == {"fetch_date": "now", "year": 2025, "email_count": len(data["emails"])}
+        # all but the last mail fit
+        assert sum(len(json.dumps(m, ensure_ascii=False).encode()) for m in data["emails"][:-1]) < 4000 * 1.2
+    with pytest.raises(ValueError):
+        envelopes.save_envelopes(mail, folder, 2025, "one")
+    assert envelopes.save_envelopes(mail.where("false"), folder, 2025, "two") is None
+    assert batches.latest_batch(spark, folder, 2025) == path
+
+
+def test_unreadable_batches(spark, tmp_path):
+    good = {"metadata": {"year": 2025}, "emails": [{"id": "1"}]}
+    texts = {"a": json.dumps(good), "b": json.dumps(good, indent=1)[:-9], "c": '{"metadata": {"year": 2025}}', "d": "", "e": "no json",
+             "f": '{"emails": []}', "g": "[1, 2]"}
+    for name, content in texts.items():
+        (tmp_path / f"emails_2025_{name}.json").write_text(content)
+    found = {r.batch_file[12]: r.reason for r in batches.unreadable_batches(spark, str(tmp_path), 2025).collect()}
+    loaded = {r.batch_file[12] for r in batches.load_emails(spark, str(tmp_path)).collect()}
+    assert loaded == {"a"} and found["b"] == found["e"] == "not json" and found["c"] == "no mails"
+    assert not {"a", "f"} & set(found)
+    assert batches.unreadable_batches(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_json_lines(spark, mails, tmp_path):
     path = store.save_json_lines(mails(("a", "x", "b")).drop("seq"), str(tmp_path), 2025, "one")
     assert batches.load_single_mails(spark, path, multi_line=False).first().sender == "x"

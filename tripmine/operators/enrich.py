@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tripmine import rules
 from tripmine.functions.airline import with_haystacks
 from tripmine.functions.text import blank_to_null
+from tripmine.operators.dedup import valid_flight
 from tripmine.operators.extract import flight
 from tripmine.schemas import FLIGHT_FIELDS, FLIGHT_TEXT_FIELDS
 
-#: Rule tables up to this many rows and characters travel as one value.
+#: Rule tables up to this many rows and bytes travel as one value.
 INLINE_RULES = 5_000
 INLINE_CHARS = 500_000
+#: Size of the filter over starts of needles, half a megabyte.
+FILTER_BITS = 1 << 22
 
 
 def itinerary_gate(
@@ -40,6 +43,11 @@ def normalised_extractions(extractions: DataFrame) -> DataFrame:
     return extractions.withColumns(cleaned)
 
 
+def with_confidence(own: Column) -> Column:
+    """A flight the rules found in the shape of an external record."""
+    return F.struct(*[own[f].alias(f) for f in FLIGHT_TEXT_FIELDS], F.lit(None).cast("double").alias("confidence"))
+
+
 def or_extraction(found: DataFrame, extractions: DataFrame) -> DataFrame:
     """Fill ``flight`` with the external record of the mail where the rules
     found none. The table holds one row per mail id."""
@@ -47,11 +55,7 @@ def or_extraction(found: DataFrame, extractions: DataFrame) -> DataFrame:
     external = normalised_extractions(extractions).select(
         F.col("email_id").alias("__email"), F.struct(*fields).alias("__external")
     )
-    own = F.struct(
-        *[F.col(f"flight.{f}").alias(f) for f in FLIGHT_TEXT_FIELDS],
-        F.lit(None).cast("double").alias("confidence"),
-    )
-    either = F.when(F.col("flight").isNotNull(), own).otherwise(F.col("__external"))
+    either = F.when(F.col("flight").isNotNull(), with_confidence(F.col("flight"))).otherwise(F.col("__external"))
     return (
         found.join(external, F.col("id") == F.col("__email"), "left")
         .withColumn("flight", either)
@@ -59,6 +63,15 @@ def or_extraction(found: DataFrame, extractions: DataFrame) -> DataFrame:
     )
 
 
+def datable_extractions(found: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Of mails without a flight (``flight`` is null) those whose external record has a
+    number and a departure, with that record as ``flight``; the others can enter no history."""
+    usable = normalised_extractions(extractions).where(valid_flight())
+    fields = [F.col(f).alias(f) for f in FLIGHT_FIELDS]
+    external = usable.select(F.col("email_id").alias("__email"), F.struct(*fields).alias("flight"))
+    return found.drop("flight").join(external, F.col("id") == F.col("__email")).drop("__email")
+
+
 def flight_or_extraction(mail: DataFrame, extractions: DataFrame, keep=("seq", "id")) -> DataFrame:
     """The flight the rules find in each mail, else its external record.
 
@@ -67,18 +80,23 @@ def flight_or_extraction(mail: DataFrame, extractions: DataFrame, keep=("seq", "
     return or_extraction(flight(mail, keep=keep), extractions)
 
 
-def airline_by_rules(mail: DataFrame, keyword_rules: DataFrame, key: str = "seq") -> DataFrame:
+def airline_by_rules(
+    mail: DataFrame, keyword_rules: DataFrame, key: str = "seq", inline_rules: int = INLINE_RULES
+) -> DataFrame:
     """Airline by a rule table ``(priority, field, needle, airline)``.
 
-    ``field`` is ``text`` or ``sender``; the smallest priority that applies
-    wins. A small table is carried as one sorted array and searched in the row,
-    without any join. A larger one is joined on the first characters of its
-    needles, see :func:`_airline_by_join`.
+    ``field`` is ``text`` or ``sender``. Of the rules whose needle is in the mail's field
+    the first by priority, field, needle, airline wins (a null comes first). An empty
+    needle is in every mail, a null one or another field in none. A small table is
+    carried as one sorted array and searched in the row, without any join; a larger one
+    is an index of needle starts, see :func:`_airline_by_index`. Both give the same.
     """
-    size = F.coalesce(F.sum(F.char_length("needle") + F.char_length("airline")), F.lit(0))
-    rows, chars = keyword_rules.agg(F.count("*"), size).first()
-    if rows > INLINE_RULES or chars > INLINE_CHARS:
-        return _airline_by_join(mail, keyword_rules, key)
+    keyword_rules = keyword_rules.where("field IN ('text', 'sender') AND needle IS NOT NULL")
+    keyword_rules = keyword_rules.select("priority", "field", "needle", "airline")
+    size = F.coalesce(F.sum(F.octet_length("needle") + F.coalesce(F.octet_length("airline"), F.lit(0))), F.lit(0))
+    rows, total = keyword_rules.agg(F.count("*"), size).first()
+    if rows > inline_rules or total > INLINE_CHARS:
+        return _airline_by_index(mail, keyword_rules, key)
     rule = F.struct("priority", "field", "needle", "airline")
     table = keyword_rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar()
     haystacks = with_haystacks(mail).withColumn("__rules", table)
@@ -94,40 +112,85 @@ def airline_by_rules(mail: DataFrame, keyword_rules: DataFrame, key: str = "seq"
     ).drop("__words", "__address", "__rules")
 
 
-def _airline_by_join(mail: DataFrame, keyword_rules: DataFrame, key: str) -> DataFrame:
+def needle_classes(keyword_rules: DataFrame) -> DataFrame:
+    """Rules with ``cut``, the greatest power of two their needle is as long as, and
+    ``piece``, that many of its first characters."""
+    size = F.char_length("needle")
+    cut = F.pow(F.lit(2), F.floor(F.log2(size + F.lit(0.5)))).cast("int")
+    return keyword_rules.where(size > 0).withColumn("cut", cut).withColumn("piece", F.expr("substring(needle, 1, cut)"))
+
+
+def _place(field: Column | str, piece: Column | str) -> Column:
+    """Which bit of the filter a piece has."""
+    return F.xxhash64(field, piece).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def _piece_filter(lookup: DataFrame) -> Column:
+    """One bit per possible hash of a piece, as an array of 64-bit words: its size is
+    fixed, however many rules there are."""
+    place = _place("field", "piece")
+    word = lookup.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    word = word.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = lookup.sparkSession.range(FILTER_BITS // 64).join(word, F.col("id") == F.col("word"), "left")
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(listed, lambda w: w["bits"])).scalar()
+
+
+def _runs(source: str, cut: int) -> tuple[Column, Column]:
+    """The pieces of a text (``__pieces``), and from them what starts at each place of a text that has ``cut`` characters from there on, twice
+    ``cut`` less one at most. Texts are taken in pieces, as finding a character takes a walk to it."""
+    step = max(64, 2 * cut)
+    pieces = F.regexp_extract_all(source, F.lit(rf"(?s)(.{{1,{step}}})"), F.lit(1))
+    longer = F.transform(
+        F.sequence(F.lit(0), F.size("__pieces") - 1),
+        lambda j: F.concat(F.get("__pieces", j), F.coalesce(F.substring(F.get("__pieces", j + 1), 1, 2 * cut - 2), F.lit(""))),
+    )
+    starts = lambda p, j: F.least(F.char_length(F.get("__pieces", j)), F.char_length(p) - (cut - 1))
+    of_piece = lambda p, j: F.when(
+        starts(p, j) >= 1,
+        F.transform(F.sequence(F.lit(1), starts(p, j)), lambda i: F.substring(p, i, F.lit(2 * cut - 1))),
+    ).otherwise(F.array().cast("array<string>"))
+    return pieces, F.flatten(F.transform(longer, of_piece))
+
+
+def _airline_by_index(mail: DataFrame, keyword_rules: DataFrame, key: str) -> DataFrame:
     """The same answer for rule tables of any size.
 
-    Mail text and needles meet on equal pieces: a needle gives its first
-    ``n`` characters, where ``n`` is the length of the shortest needle, and a
-    text what starts at each of its places, no longer than the longest needle.
-    Pairs are checked for the whole needle and reduced to one rule per mail
-    before the result is joined back. ``key`` has to be unique.
+    Needles are indexed by length class, by their first 1, 2, 4, 8 ... characters. In the
+    row, a text is cut to the pieces of each class, and those that no needle starts
+    with are dropped there by a bit filter of fixed size; what is left is a few
+    rows per mail. They meet the index on equal pieces, are checked for the whole needle,
+    and reduce to one rule per mail with a partial step. ``key`` has to be unique.
     """
-    size = F.char_length("needle")
-    shortest, longest = keyword_rules.agg(F.min(size), F.max(size)).first()
-    lookup = keyword_rules.withColumn("piece", F.substring("needle", 1, shortest))
-    every_place = F.lit(rf"(?s)(?=(.{{{shortest},{longest}}}))")
-    runs = [
-        F.struct(
-            F.lit(field).alias("field"),
-            F.array_distinct(F.regexp_extract_all(source, every_place, F.lit(1))).alias("runs"),
-        )
-        for field, source in (("text", "__words"), ("sender", "__address"))
-    ]
-    pieces = (
-        with_haystacks(mail)
-        .select(key, F.inline(F.array(*runs)))
-        .select(key, "field", F.explode("runs").alias("run"))
-        .withColumn("piece", F.substring("run", 1, shortest))
-    )
+    lookup = needle_classes(keyword_rules)
+    # one row per field and power of two
+    cuts = [tuple(r) for r in lookup.select("field", "cut").distinct().orderBy("field", "cut").collect()]
+    haystacks = with_haystacks(mail).select(key, "__words", "__address")
+    known = _piece_filter(lookup) if cuts else None
+    found = None
+    for field, cut in cuts:
+        pieces, runs = _runs({"text": "__words", "sender": "__address"}[field], cut)
+
+        def held(run: Column, field: str = field, cut: int = cut) -> Column:
+            at = _place(F.lit(field), F.substring(run, 1, cut))
+            return F.getbit(F.get("__filter", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        cut_up = haystacks.select(key, pieces.alias("__pieces")).withColumn("__filter", known)
+        rows = cut_up.select(key, F.explode(F.array_distinct(F.filter(runs, lambda r: held(r)))).alias("run"))
+        rows = rows.select(key, F.lit(field).alias("field"), F.lit(cut).alias("cut"), "run")
+        found = rows if found is None else found.unionByName(rows)
+    best = keyword_rules.where("needle = ''").agg(F.min(F.struct("priority", "field", "needle", "airline"))).scalar()
+    if found is None:
+        return mail.withColumn("airline", F.coalesce(best["airline"], F.lit(rules.UNKNOWN_AIRLINE)))
+    met = found.withColumn("piece", F.expr("substring(run, 1, cut)")).join(lookup, ["field", "cut", "piece"])
     hits = (
-        pieces.join(lookup, ["field", "piece"])
-        .where(F.col("run").startswith(F.col("needle")))
+        met.where(F.col("run").startswith(F.col("needle")))
         .groupBy(key)
-        .agg(F.min(F.struct("priority", "airline")).alias("__rule"))
+        .agg(F.min(F.struct("priority", "field", "needle", "airline")).alias("__rule"))
     )
+    first = F.array_min(F.array_compact(F.array("__rule", best)))
     return (
         mail.join(hits, key, "left")
-        .withColumn("airline", F.coalesce("__rule.airline", F.lit(rules.UNKNOWN_AIRLINE)))
+        .withColumn("airline", F.coalesce(first["airline"], F.lit(rules.UNKNOWN_AIRLINE)))
         .drop("__rule")
     )

@@ -166,7 +166,7 @@ def tracked_flight(
         "has_flight_number",
         "flight_context_count",
     ]
-    return evaluated(df, columns + added)
+    return evaluated(df, columns + added, [c for c in columns if c not in added])
 
 
 def tracker_gate(tracked: DataFrame, threshold: float = rules.TRACKER_MIN_CONFIDENCE) -> DataFrame:

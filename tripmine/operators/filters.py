@@ -11,6 +11,7 @@ from tripmine import rules
 from tripmine.functions.booking import potential_flight, valid_code, valid_number
 from tripmine.functions.scalars import rfc2822
 from tripmine.functions.text import contains_any, lowered
+from tripmine.sinks.seen import SeenIds, id_key
 
 
 def look_forward(year: int, days: int = 365, start: str = "01-01") -> tuple[datetime, datetime]:
@@ -94,3 +95,8 @@ def unprocessed(mail: DataFrame, processed: DataFrame, key: str = "id") -> DataF
     """
     seen = processed.select(F.col(key).alias("__seen")).distinct()
     return mail.join(seen, F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
+
+
+def unremembered(mail: DataFrame, seen: SeenIds, key: str = "id") -> DataFrame:
+    """The same against a table of remembered ids, which is read as it lies and not shuffled."""
+    return seen.unseen(mail.withColumn("__key", id_key(key)), "__key").drop("__key")

@@ -51,6 +51,50 @@ def top_route(
     )
 
 
+def all_statistics(
+    flights: DataFrame, origin="departure", destination="arrival", date="internal_date", seq: str = "seq"
+) -> DataFrame:
+    """Totals, months and top route in one pass over the flights.
+
+    Rows ``metric, name, flights, first_seq``: ``flights`` and ``airlines`` (number of
+    flights, of distinct airlines), one ``month`` each and the ``route``. Every flight
+    counts under its airline, month and route, three narrow rows that each task
+    reduces before the one shuffle; all the rest works on those counts. Of several top
+    routes the one that got to its count first wins.
+    """
+    route = F.concat(text(origin), F.lit("-"), text(destination))
+    narrow = flights.select(
+        text("airline").alias("airline"), month_name(F.col(date)).alias("month"), route.alias("route"), F.col(seq).alias("seq")
+    )
+    sets = [["airline"], ["month"], ["route"]]
+    counted = narrow.groupingSets([[F.col(c) for c in s] for s in sets], "airline", "month", "route").agg(
+        F.grouping_id().alias("__set"),
+        F.count("*").alias("n"),
+        F.min("seq").alias("first"),
+        F.max("seq").alias("reached"),
+    )
+    # grouping ids: a bit is set for each column that is not grouped by
+    metric = F.when(F.col("__set") == 3, "airline").when(F.col("__set") == 5, "month").otherwise("route")
+    counted = counted.withColumn("metric", metric).where("metric <> 'month' OR month IS NOT NULL")
+    name = F.when(F.col("metric") == "month", F.col("month"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "reached", "route", "first")).alias("best")
+    whole = counted.groupBy("metric", name.alias("name")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min("first").alias("first"), best
+    )
+    none = F.lit(None)
+    row = lambda metric, name, n, first: F.struct(
+        F.lit(metric).alias("metric"), name.cast("string").alias("name"), n.alias("flights"), first.alias("first_seq")
+    )
+    first = F.col("first")
+    rows = (
+        F.when(F.col("metric") == "airline", F.array(
+            row("flights", none, F.col("n"), first), row("airlines", none, F.col("kinds"), first)))
+        .when(F.col("metric") == "month", F.array(row("month", F.col("name"), F.col("n"), first)))
+        .otherwise(F.array(row("route", F.col("best.route"), -F.col("best.n"), F.col("best.first"))))
+    )
+    return whole.select(F.inline(rows))
+
+
 def funnel(mail: DataFrame) -> DataFrame:
     """Mails, potential flight mails and confirmed bookings in one pass."""
     flagged = mail.select(potential_flight().alias("potential"), "subject", "body")

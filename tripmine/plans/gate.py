@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmine.functions.booking import with_booking_details
-from tripmine.operators.filters import booking_gate, potential, second_gate, unprocessed
+from tripmine.operators.filters import booking_gate, potential, second_gate, unprocessed, unremembered
+from tripmine.sinks.seen import SeenIds
 
 
-def gate(mail: DataFrame, processed: DataFrame | None = None) -> DataFrame:
+def gate(mail: DataFrame, processed: DataFrame | SeenIds | None = None) -> DataFrame:
     """New mails that carry a booking, with ``booking_details``.
 
-    Skipping processed ids comes last: it does not depend on the gate, and so
-    only the few mails that pass are joined with the processed ids.
+    Skipping processed ids, a table of them or the ids remembered between runs, comes
+    last: it does not depend on the gate, and so only the few mails that pass are
+    joined with the processed ids.
     """
     passed = booking_gate(with_booking_details(potential(mail)))
+    if isinstance(processed, SeenIds):
+        return unremembered(passed, processed)
     return passed if processed is None else unprocessed(passed, processed)
 
 
-def newly_processed(mail: DataFrame, processed: DataFrame) -> DataFrame:
+def newly_processed(mail: DataFrame, processed: DataFrame | SeenIds) -> DataFrame:
     """Ids to remember after a gate run: every id of the call, booking or not."""
-    return unprocessed(mail.select("id").distinct(), processed)
+    ids = mail.select("id").distinct()
+    return unremembered(ids, processed) if isinstance(processed, SeenIds) else unprocessed(ids, processed)
 
 
 def gate_nested(mail: DataFrame) -> DataFrame:

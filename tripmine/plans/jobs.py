@@ -9,6 +9,7 @@ from tripmine.plans.gate import gate, newly_processed
 from tripmine.plans.history import history
 from tripmine.plans.tracker import track
 from tripmine.sinks.flights import save_flights, save_tracked
+from tripmine.sinks.seen import SeenIds, id_key
 from tripmine.sinks.store import save_batch
 from tripmine.sources.batches import latest_batch, load_emails
 from tripmine.workspace import as_table
@@ -37,14 +38,20 @@ def history_job(
 
 
 def gate_job(
-    mail: DataFrame, store: str, batch_id: str, year: int, processed: DataFrame
+    mail: DataFrame, store: str, batch_id: str, year: int, processed: DataFrame | SeenIds
 ) -> tuple[DataFrame | None, DataFrame]:
     """Gate fetched mail into the store as one batch.
 
-    Returns the batch metadata, None if nothing passed, and the ids to append
-    to the table of processed ids.
+    Returns the batch metadata, None if nothing passed, and the ids that are new. Ids
+    remembered between runs (:class:`SeenIds`) are added to here; a table of processed ids
+    is the caller's to append to.
     """
-    return save_batch(gate(mail, processed), store, batch_id, year), newly_processed(mail, processed)
+    metadata = save_batch(gate(mail, processed), store, batch_id, year)
+    new = newly_processed(mail, processed)
+    if isinstance(processed, SeenIds):
+        new = as_table(new, "new_ids")
+        processed.add(new.select(id_key("id")))
+    return metadata, new
 
 
 def tracker_job(messages: DataFrame, target: str) -> None:

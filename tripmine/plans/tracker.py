@@ -9,7 +9,7 @@ from tripmine.functions.text import text
 from tripmine.operators.dedup import first_record
 from tripmine.operators.extract import tracked_flight, tracker_gate
 from tripmine.operators.filters import search_tracker
-from tripmine.operators.stats import by_month, top_route, totals
+from tripmine.operators.stats import all_statistics
 from tripmine.sources.messages import tracker_text
 
 
@@ -28,10 +28,6 @@ def track_mail(mail: DataFrame, year: int, days: int = 365, limit: int | None =
     return first_record(tracker_gate(tracked_flight(hits, searched, keep)))
 
 
-def statistics(flights: DataFrame, **names) -> dict[str, DataFrame]:
-    """Totals, months and top route of a flight table."""
-    return {
-        "totals": totals(flights),
-        "months": by_month(flights),
-        "top_route": top_route(flights, **names),
-    }
+def statistics(flights: DataFrame, **names) -> DataFrame:
+    """Totals, months and top route of a flight table, from one pass over it."""
+    return all_statistics(flights, **names)

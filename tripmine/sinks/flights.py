@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmine.functions.scalars import epoch_minute
-from tripmine.operators.stats import by_month, top_route, totals
+from tripmine.operators.stats import all_statistics, with_month
 from tripmine.schemas import CSV_COLUMNS
 
 
@@ -33,12 +33,24 @@ def save_flights(
 
 
 def save_tracked(flights: DataFrame, path: str, seq: str = "seq") -> None:
-    """Write second-generation flights, then their statistics from the files."""
-    flights.write.parquet(f"{path}/flights")
-    written = flights.sparkSession.read.schema(flights.schema).parquet(f"{path}/flights")
-    totals(written).write.parquet(f"{path}/totals")
-    by_month(written, seq=seq).write.parquet(f"{path}/months")
-    top_route(written, seq=seq).write.parquet(f"{path}/top_route")
+    """Write second-generation flights with the month each belongs to, one partition
+    per month, then their statistics in one pass over the files."""
+    placed = with_month(flights)
+    # a month's rows are merged or split to files of the advisory size
+    placed.hint("rebalance", F.col("month")).write.partitionBy("month").parquet(f"{path}/flights")
+    written = flights.sparkSession.read.schema(placed.schema).parquet(f"{path}/flights")
+    all_statistics(written, seq=seq).coalesce(1).write.parquet(f"{path}/statistics")
+
+
+def load_tracked(spark: SparkSession, path: str, month: str | None = None) -> DataFrame:
+    """Stored flights of all months, or the members of one: other months are not read."""
+    flights = spark.read.parquet(f"{path}/flights")
+    return flights if month is None else flights.where(F.col("month") == month)
+
+
+def load_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics stored with flights; see :func:`tripmine.operators.stats.all_statistics`."""
+    return spark.read.parquet(f"{path}/statistics")
 
 
 def csv_rows(flights: DataFrame) -> DataFrame:

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tripmine.operators.stats import batch_counts
+from tripmine.workspace import as_table
+
+STORED = "seq bigint, id string, subject string, sender string, date string, body string, batch_id string, year int"
+METADATA = "batch_id string, fetch_date string, year int, email_count bigint"
 
 
 def save_batch(
@@ -16,18 +21,21 @@ def save_batch(
 
     ``year`` is a number, or a column where one fetch spans years. The batch
     id has to be new, so a batch is never overwritten and a run repeated by
-    mistake is refused. The data is written before its metadata.
+    mistake is refused. The data is written before its metadata. A batch without
+    mail leaves nothing behind, and its id can be used again.
     """
     spark = emails.sparkSession
-    if _exists(spark, f"{store}/mail/batch_id={batch_id}"):
+    target = f"{store}/mail/batch_id={batch_id}"
+    if exists(spark, target):
         raise ValueError(f"batch {batch_id!r} exists already")
     year = year if isinstance(year, Column) else F.lit(year)
-    target = f"{store}/mail/batch_id={batch_id}"
-    emails.withColumn("year", year.cast("int")).write.partitionBy("year").parquet(target)
-    if not _exists(spark, f"{target}/year=*"):
+    # computed once, whether it turns out empty or not
+    rows = as_table(emails.withColumn("year", year.cast("int")), "batch")
+    if rows.isEmpty():
         return None
-    written = spark.read.parquet(target)
-    metadata = batch_counts(written, "year").select(
+    # partitions of a year are merged or split to the advisory size: no file per task and year
+    rows.hint("rebalance", F.col("year")).write.partitionBy("year").parquet(target)
+    metadata = batch_counts(rows, "year").select(
         F.lit(batch_id).alias("batch_id"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("fetch_date"),
         "year",
@@ -35,17 +43,26 @@ def save_batch(
     )
     # At most one row per year.
     metadata.coalesce(1).write.mode("append").parquet(f"{store}/metadata")
-    return spark.read.parquet(f"{store}/metadata").where(F.col("batch_id") == batch_id)
+    return store_metadata(spark, store).where(F.col("batch_id") == batch_id)
 
 
-def load_store(spark: SparkSession, store: str, year: int | None = None) -> DataFrame:
-    """Mail of all batches, or of one year: other years are not read."""
+def load_store(
+    spark: SparkSession, store: str, year: int | None = None, schema: StructType | str = STORED
+) -> DataFrame:
+    """Mail of all batches, or of one year: other years are not read.
+
+    A store without any batch is an empty table of ``schema``.
+    """
+    if not exists(spark, f"{store}/mail"):
+        return spark.createDataFrame([], schema)
     mail = spark.read.parquet(f"{store}/mail")
     return mail if year is None else mail.where(F.col("year") == year)
 
 
 def store_metadata(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/metadata")
+    if not exists(spark, f"{store}/metadata"):
+        return spark.createDataFrame([], METADATA)
+    return spark.read.schema(METADATA).parquet(f"{store}/metadata")
 
 
 def save_json_lines(emails: DataFrame, folder: str, year: int, batch_id: str) -> str:
@@ -59,7 +76,7 @@ def save_json_lines(emails: DataFrame, folder: str, year: int, batch_id: str) ->
     return path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         return True

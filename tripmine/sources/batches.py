@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripmine.schemas import EMAIL_BATCH, EMAIL_JSON
 
@@ -118,6 +119,28 @@ def batch_metadata(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def unreadable_batches(spark: SparkSession, folder: str, year: int | None = None) -> DataFrame:
+    """Files the loaders skip: ``batch_file, path, bytes, reason``.
+
+    ``not json``: cut short or no JSON at all; ``no mails``: JSON without a list of mails.
+    Only the few columns of the envelope are parsed, and no content is returned.
+    """
+    schema = T.StructType([*EMAIL_BATCH.fields, T.StructField("_broken", T.StringType())])
+    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
+    found = _found(lambda: reader.json(_pattern(folder, year)))
+    if found is None:
+        return spark.createDataFrame([], "batch_file string, path string, bytes bigint, reason string")
+    # a broken record may still have given its mails
+    reason = F.when(F.col("emails").isNotNull(), None).when(F.col("_broken").isNotNull(), "not json").otherwise("no mails")
+    path = F.col("_metadata.file_path")
+    rows = found.select(
+        batch_name(path).alias("batch_file"), path.alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        reason.alias("reason"),
+    )
+    return rows.where("reason IS NOT NULL").distinct()
+
+
 def load_single_mails(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Mails stored one JSON object per file; with ``multi_line=False``, one
     object per line, which Spark can split."""

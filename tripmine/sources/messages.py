@@ -42,13 +42,14 @@ def _with_body(messages: DataFrame) -> DataFrame:
     df = messages.withColumn("__kept", parts.isNotNull() | own.isNotNull())
     df = df.withColumn("__wanted", wanted).withColumn("body", decoded(data))
     df = df.withColumn("__bad", F.col("__wanted") & F.col("body").isNull())
-    return evaluated(df, [*messages.columns, "body", "__kept", "__bad"])
+    own = [c for c in messages.columns if c != "body"]
+    return evaluated(df, [*own, "body", "__kept", "__bad"], own)
 
 
 def normalise(messages: DataFrame) -> DataFrame:
     """Messages as mail rows with header defaults; undecodable ones are left
     to :func:`quarantined`."""
-    others = [c for c in messages.columns if c not in ("id", "payload")]
+    others = [c for c in messages.columns if c not in ("id", "payload", "body")]
     return (
         _with_body(messages)
         .where(F.col("__kept") & ~F.col("__bad"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -10,13 +11,18 @@ from pyspark.sql.types import StructType
 from tripmine.functions.booking import potential_flight, with_booking_details
 from tripmine.rules import BOOKING_MIN_CONFIDENCE
 from tripmine.schemas import EMAIL_BATCH
-from tripmine.sources.batches import EMAIL_COLUMNS
+from tripmine.sinks.seen import SeenIds, id_key
+from tripmine.sources.batches import BATCH_COLUMNS, batch_name
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COUNTS = ("total", "potential", "confirmed")
 
 
 def batch_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New batch files of a folder as a stream of mails."""
+    """New batch files of a folder as a stream of mails.
+
+    Rows carry their batch, their year and, as ``seq``, file and place in it, so
+    the order of the files survives whatever order they are read in.
+    """
     files = (
         spark.readStream.schema(EMAIL_BATCH)
         .option("multiLine", True)
@@ -24,8 +30,20 @@ def batch_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(folder)
     )
-    mails = files.select(F.explode("emails").alias("email")).select("email.*")
-    return mails.withColumnRenamed("from", "sender").select(*EMAIL_COLUMNS)
+    path = F.col("_metadata.file_path").alias("path")
+    mails = files.select(path, "metadata.year", F.posexplode("emails").alias("place", "email"))
+    name = batch_name(F.col("path"))
+    named_year = F.regexp_extract(name, r"^emails_(\d{4})_", 1).try_cast("int")
+    return (
+        mails.select(
+            name.alias("batch_file"),
+            F.struct("path", "place").alias("seq"),
+            "email.*",
+            F.coalesce("year", named_year).alias("year"),
+        )
+        .withColumnRenamed("from", "sender")
+        .select(*BATCH_COLUMNS, "year")
+    )
 
 
 def mail_stream(
@@ -36,68 +54,104 @@ def mail_stream(
     return reader.parquet(folder)
 
 
-def gated(
-    mail: DataFrame,
-    threshold: float = BOOKING_MIN_CONFIDENCE,
-    fetched_at: str | None = None,
-    repeat_window: str = "7 days",
-) -> DataFrame:
-    """Mails that pass the gate, one row per id.
+def judged(mail: DataFrame, threshold: float = BOOKING_MIN_CONFIDENCE) -> DataFrame:
+    """``mail`` with flags ``__potential`` and ``__confirmed``; where it is no booking
+    the texts are gone, so mail that fails the gate moves on without its body."""
+    flagged = mail.withColumn("__potential", potential_flight())
+    only = {c: F.when(F.col("__potential"), F.col(c)) for c in ("subject", "body")}
+    detailed = with_booking_details(flagged.withColumns(only))
+    confirmed = F.coalesce(F.col("booking_details.confidence") >= threshold, F.lit(False))
+    return detailed.withColumn("__confirmed", confirmed)
+
+
+def _order(mail: DataFrame) -> Column:
+    """Which of several mails of one id counts: the first by ``seq``, else one chosen by content."""
+    return F.col("seq") if "seq" in mail.columns else F.xxhash64(*mail.columns)
 
-    An id counts as seen even if its mail is no booking, so ids are made
-    distinct over all mail. The gate runs before that, in the reading task,
-    and mails that fail it go into the shuffle as a bare id.
 
-    Without ``fetched_at`` all ids are remembered for good. With it, they are
-    kept for ``repeat_window`` of that event time, which bounds the state.
+def first_copies(rows: DataFrame, order: Column) -> DataFrame:
+    """One row ``key, mail`` per id of judged ``rows``; ``mail`` is null where the first is no booking.
+
+    An arg-min with a partial step: each task sends one row per id, and mails that
+    fail the gate go as a bare id, so an id that fills a third of a batch costs a row
+    per task.
     """
-    possible = potential_flight()
-    judged = {c: F.when(possible, F.col(c)) for c in ("subject", "body")}
-    slim = mail.select(
-        *[judged.get(c, F.col(c)).alias(c) for c in mail.columns]
-    )
-    detailed = with_booking_details(slim)
-    passed = F.coalesce(F.col("booking_details.confidence") >= threshold, F.lit(False))
-    carried = [c for c in detailed.columns if c not in ("id", fetched_at)]
-    rows = detailed.select(
-        "id",
-        *([fetched_at] if fetched_at else []),
-        F.when(passed, F.struct(*carried)).alias("mail"),
-    )
-    if fetched_at:
-        once = rows.withWatermark(fetched_at, repeat_window).dropDuplicatesWithinWatermark(["id"])
-    else:
-        once = rows.dropDuplicates(["id"])
-    return once.where(F.col("mail").isNotNull()).select("id", "mail.*")
+    carried = [c for c in rows.columns if not c.startswith("__")]
+    mail = F.when(F.col("__confirmed"), F.struct(*carried))
+    keyed = rows.select(id_key("id").alias("key"), order.alias("__order"), mail.alias("mail"))
+    return keyed.groupBy("key").agg(F.min_by("mail", "__order").alias("mail"))
 
 
 def start_gate(
-    mail: DataFrame, target: str, checkpoint: str, available_now: bool = True, **settings
+    mail: DataFrame,
+    target: str,
+    checkpoint: str,
+    available_now: bool = True,
+    threshold: float = BOOKING_MIN_CONFIDENCE,
+    ids: str | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Append gated mail to ``target``. File sink and checkpoint make every
-    batch appear exactly once, also after a restart."""
-    spark = mail.sparkSession
-    # Ids seen so far outgrow the heap of an executor; RocksDB keeps them on disk.
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = (
-        gated(mail, **settings)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    """Append gated mail to ``target``, one mail per id over all batches and runs.
+
+    An id counts as seen even if its mail is no booking; a null id is one id. Ids are
+    remembered in a :class:`SeenIds` table (``ids``, by default beside the target), for
+    good and outside of the session's state: late mail is judged like any other. Each
+    batch writes its mails and its row of counts to places of its own number, so a batch
+    that is repeated after a failure replaces what it wrote, and appears exactly once.
+    """
+    target = target.rstrip("/")
+    seen = SeenIds(mail.sparkSession, ids or f"{target}_ids", buckets)
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        place = f"query_id={writer}/batch_id={number}"
+        counts = Observation()
+        rows = judged(batch, threshold).observe(
+            counts,
+            F.count("*").alias("total"),
+            F.count_if("__potential").alias("potential"),
+            F.count_if("__confirmed").alias("confirmed"),
+        )
+        new = seen.unseen(first_copies(rows, _order(batch)), writer=writer, before=number)
+        new = new.persist(StorageLevel.DISK_ONLY)
+        try:
+            passed = new.where(F.col("mail").isNotNull()).select("mail.*")
+            passed.write.mode("overwrite").parquet(f"{target}/{place}")
+            seen.add(new.select("key"), writer, number)
+        finally:
+            new.unpersist()
+        row = spark.range(1, numPartitions=1).select(
+            *(F.lit(counts.get[c]).cast("bigint").alias(c) for c in COUNTS)
+        )
+        row.write.mode("overwrite").parquet(f"{target}_counts/{place}")
+
+    writer = mail.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_funnel(spark: SparkSession, target: str) -> DataFrame:
+    """Mails, potential flight mails and confirmed bookings a gate has seen over all its
+    batches, copies included; a row of the same columns as the batch form gives."""
+    counts = spark.read.parquet(f"{target.rstrip('/')}_counts")
+    return counts.agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
 def start_ingest(mail: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """First of two steps: append new mail as it is, to be processed later."""
+    """First of two steps: append the mails of :func:`batch_stream` as they are, in
+    partitions by year, to be processed later."""
     return (
         mail.writeStream.format("parquet")
+        .partitionBy("year")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def load_ingested(spark: SparkSession, target: str, year: int | None = None) -> DataFrame:
+    """Ingested mail of all years, or of one: other years are not read. ``seq`` orders it."""
+    mail = spark.read.parquet(target)
+    return mail if year is None else mail.where(F.col("year") == year)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from workload.tables import DECISIONS_SQL, EXTRACTIONS_SQL, FLIGHTS_SQL, mail_sql
+from workload.tables import AIRLINE_RULES_SQL, DECISIONS_SQL, EXTRACTIONS_SQL, FLIGHTS_SQL, mail_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ _TABLES = {
     "decisions": DECISIONS_SQL,
     "extractions": EXTRACTIONS_SQL,
     "flights": FLIGHTS_SQL,
+    "airline_rules": AIRLINE_RULES_SQL,
 }
 
 

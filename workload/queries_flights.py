@@ -136,18 +136,8 @@ STATISTICS = f"""SELECT 'flights' AS metric, 'all' AS name, count(*) AS n FROM t
   UNION ALL SELECT 'route', '-', count(*) FROM tracked"""
 
 
-def statistics_rows(parts):
-    """The statistics frames as one table of counts."""
-
-    def row(metric, name, n):
-        return F.struct(F.lit(metric).alias("metric"), name.alias("name"), F.col(n).alias("n"))
-
-    every = F.lit("all")
-    counted = [row("flights", every, "total_flights"), row("airlines", every, "unique_airlines")]
-    totals = parts["totals"].select(F.inline(F.array(*counted)))
-    months = parts["months"].select(row("month", F.col("month"), "flights").alias("r")).select("r.*")
-    route = parts["top_route"].select(row("route", F.col("route"), "flights").alias("r")).select("r.*")
-    return totals.unionByName(months).unionByName(route)
+def statistics_rows(statistics):
+    return statistics.select("metric", F.coalesce("name", F.lit("all")).alias("name"), F.col("flights").alias("n"))
 
 
 def with_routes(flights):
@@ -162,6 +152,20 @@ def tracker_statistics_v2(spark, sf_dir):
     return statistics_rows(tracker.statistics(flights))
 
 
+@check(
+    "agg_all_statistics",
+    f"""WITH rows AS (SELECT seq, coalesce(airline, '') AS airline, {MONTH} AS month,
+      concat(coalesce(departure_airport, ''), '-', coalesce(arrival_airport, '')) AS route FROM flights)
+    SELECT 'flights' AS metric, NULL AS name, count(*) AS flights, min(seq) AS first_seq FROM rows
+    UNION ALL SELECT 'airlines', NULL, count(DISTINCT airline), min(seq) FROM rows
+    UNION ALL SELECT 'month', month, count(*), min(seq) FROM rows WHERE month IS NOT NULL GROUP BY month
+    UNION ALL (SELECT 'route', route, count(*), min(seq) FROM rows GROUP BY route ORDER BY count(*) DESC, max(seq) LIMIT 1)""",
+    "flights",
+)
+def agg_all_statistics(spark, sf_dir):
+    return stats.all_statistics(t.flights(spark, sf_dir), "departure_airport", "arrival_airport")
+
+
 @check(
     "tracker_search_v2",
     f"""WITH hits AS (SELECT seq, id, thread_id, concat(coalesce(subject, ''), chr(10), coalesce(body, '')) AS txt

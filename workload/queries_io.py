@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripmine.functions.text import text
 from tripmine.operators.extract import tracked_flight, tracker_gate
 from tripmine.plans import gate, history, report, tracker
+from tripmine.operators.dedup import by_departure, numbered
+from tripmine.sinks import envelopes, store
 from tripmine.sinks import flights as flight_sinks
-from tripmine.sinks import store
 from tripmine.sources import batches, messages
 from tripmine.streaming import gate as streams
 from tripmine.workspace import fresh_path
 from workload import tables as t
-from workload.catalog import check
+from workload.catalog import ORACLES, check
 from workload.queries_flights import (
-    RAW, STATISTICS, TRACKED, TRACKED_COLUMNS, OWN_FLIGHTS, best_sql, statistics_rows, with_routes,
+    RAW, STATISTICS, TRACKED, TRACKED_COLUMNS, TRACKED_MONTH, OWN_FLIGHTS, best_sql, statistics_rows, with_routes,
 )
 from workload.queries_mail import (
     DETAILS, FLAT, POTENTIAL, RFC, TEXTS, V2_OF_MAIL, _flat,
@@ -64,6 +66,12 @@ def src_batch_metadata(spark, sf_dir):
     return files.groupBy("batch_file", "year").agg(F.sum("email_count").alias("email_count"))
 
 
+@check("src_unreadable_batches", "SELECT concat('emails_', CAST(min(year(sent_at)) AS VARCHAR), '_broken.json') AS batch_file, "
+       "'not json' AS reason FROM mail")
+def src_unreadable_batches(spark, sf_dir):
+    return batches.unreadable_batches(spark, t.email_batches(spark, sf_dir)).select("batch_file", "reason")
+
+
 @check(
     "src_sample_range",
     f"""WITH dated AS (SELECT *, CASE WHEN regexp_full_match(date, '{RFC[1:-1]}')
@@ -242,18 +250,30 @@ def sink_flights(spark, sf_dir):
 def sink_v2(spark, sf_dir):
     path = fresh_path(spark, "tracked")
     flight_sinks.save_tracked(with_routes(tracker.track(t.raw_messages(spark, sf_dir))), path)
-    names = {"totals": "totals", "months": "months", "top_route": "top_route"}
-    return statistics_rows({k: spark.read.parquet(f"{path}/{v}") for k, v in names.items()})
+    return statistics_rows(flight_sinks.load_statistics(spark, path))
 
 
-@check("sink_v2_flights", f"WITH {TRACKED} SELECT {TRACKED_COLUMNS} FROM tracked")
-def sink_v2_flights(spark, sf_dir):
+def _stored_by_month(spark, sf_dir, *months):
     path = fresh_path(spark, "tracked")
     flight_sinks.save_tracked(with_routes(tracker.track(t.raw_messages(spark, sf_dir))), path)
-    flights = spark.read.parquet(f"{path}/flights").drop("departure", "arrival")
+    parts = [flight_sinks.load_tracked(spark, path, month) for month in months]
+    flights = parts[0] if len(parts) == 1 else batches.union_batches(*parts)
+    flights = flights.drop("departure", "arrival")
     return flights.withColumn("flight_context_count", F.col("flight_context_count").cast("bigint"))
 
 
+@check("sink_v2_flights", f"WITH {TRACKED} SELECT {TRACKED_COLUMNS}, {TRACKED_MONTH} AS month FROM tracked")
+def sink_v2_flights(spark, sf_dir):
+    return _stored_by_month(spark, sf_dir, None)
+
+
+@check("sink_v2_months", f"WITH {TRACKED}, stored AS (SELECT {TRACKED_COLUMNS}, {TRACKED_MONTH} AS month FROM tracked) "
+       "SELECT * FROM stored WHERE month IN ('March', 'November')")
+def sink_v2_months(spark, sf_dir):
+    """Members of two months, each read from its own partition."""
+    return _stored_by_month(spark, sf_dir, "March", "November")
+
+
 @check("set_union_batches", f"WITH {LOADED} SELECT {LOADED_COLUMNS} FROM placed WHERE year(sent_at) IN (1996, 1998)")
 def set_union_batches(spark, sf_dir):
     folder = t.email_batches(spark, sf_dir)
@@ -261,6 +281,30 @@ def set_union_batches(spark, sf_dir):
     return _loaded(batches.union_batches(*parts))
 
 
+def _years(mail):
+    return [r.year for r in mail.select(F.year("sent_at").alias("year")).distinct().orderBy("year").collect()]
+
+
+def _envelopes_by_year(mail, folder):
+    for year in _years(mail):
+        envelopes.save_envelopes(mail.where(F.year("sent_at") == year), folder, year, "one", file_bytes=500_000)
+
+
+@check("sink_json_batch", """SELECT concat('emails_', CAST(year(sent_at) AS VARCHAR), '_one.json') AS batch_file,
+    row_number() OVER (PARTITION BY year(sent_at) ORDER BY seq) AS pos, id, subject, sender, date, body FROM mail""")
+def sink_json_batch(spark, sf_dir):
+    """Mail written as batches of envelopes, one per year, and loaded again in order."""
+    folder = fresh_path(spark, "envelopes")
+    _envelopes_by_year(t.mail(spark, sf_dir), folder)
+    loaded = batches.load_emails(spark, folder)
+    files = loaded.groupBy("seq.path").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(batches.batch_name(F.col("path"))).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select(F.col("path").alias("file"), F.coalesce(before, F.lit(0)).alias("before"))
+    placed = loaded.join(offsets, F.col("seq.path") == F.col("file"))
+    pos = (F.col("before") + F.col("seq.place") + 1).alias("pos")
+    return placed.select("batch_file", pos, *batches.EMAIL_COLUMNS)
+
+
 # --- streams -------------------------------------------------------------------------
 
 
@@ -280,14 +324,58 @@ def stream_gate(spark, sf_dir):
     return _flat(spark.read.parquet(target))
 
 
-@check("two_step_history", f"WITH {OWN_FLIGHTS}, {best_sql('own')} SELECT {', '.join(TEXTS)} FROM best")
+#: Copies of one id fill three tenths of all rows, some mails have no id, and a third of
+#: the mail comes in each of three runs, whenever it was sent.
+LATE_ID = "CASE WHEN seq % 10 < 3 THEN 'one' WHEN seq % 41 = 0 THEN NULL ELSE id END"
+
+
+@check(
+    "stream_gate_late",
+    f"""WITH named AS (SELECT * REPLACE ({LATE_ID} AS id) FROM mail),
+    firsts AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq % 3, seq) AS rn FROM named)
+      WHERE rn = 1), {DETAILS.replace("FROM mail)", "FROM firsts)")} SELECT {FLAT} FROM details WHERE {POTENTIAL}""",
+)
+def stream_gate_late(spark, sf_dir):
+    folder, target, checkpoint = (fresh_path(spark, n) for n in ("late", "gated", "checkpoint"))
+    mail = t.mail(spark, sf_dir).withColumn("id", F.expr(LATE_ID))
+    for run in range(3):
+        mail.where(F.col("seq") % 3 == run).write.mode("append").parquet(folder)
+        arrivals = streams.mail_stream(spark, folder, mail.schema)
+        streams.start_gate(arrivals, target, checkpoint).awaitTermination()
+    return _flat(spark.read.parquet(target))
+
+
+@check("stream_funnel", ORACLES["agg_funnel"], "")
+def stream_funnel(spark, sf_dir):
+    mail = t.mail(spark, sf_dir)
+    target, checkpoint = fresh_path(spark, "gated"), fresh_path(spark, "checkpoint")
+    arrivals = streams.mail_stream(spark, t.mail_folder(spark, sf_dir), mail.schema, files_per_trigger=16)
+    streams.start_gate(arrivals, target, checkpoint).awaitTermination()
+    return streams.stream_funnel(spark, target)
+
+
+LETTERED = "translate(id, '0123456789', 'abcdefghij')"
+
+
+@check(
+    "two_step_history",
+    f"""WITH ordered AS (SELECT * REPLACE (row_number() OVER (ORDER BY year(sent_at), seq) AS seq) FROM mail),
+    {OWN_FLIGHTS.replace("FROM mail", "FROM ordered")}, {best_sql('own')} SELECT {', '.join(TEXTS)},
+      row_number() OVER (ORDER BY departure_datetime, first_seq) AS pos FROM best""",
+)
 def two_step_history(spark, sf_dir):
-    """Fetch step: stream batch files into the store. Process step: history."""
-    arrivals = streams.batch_stream(spark, t.email_batches(spark, sf_dir))
+    """Fetch step: stream batch files into the store. Process step: history, numbered in its order.
+
+    Ids hold no digits, so the order can come from files and places alone.
+    """
+
+    def write(folder):
+        _envelopes_by_year(t.mail(spark, sf_dir).withColumn("id", F.expr(LETTERED)), folder)
+
+    folder = t.landed(spark, sf_dir, "lettered_batches", write)
     target, checkpoint = fresh_path(spark, "bronze"), fresh_path(spark, "checkpoint")
-    streams.start_ingest(arrivals, target, checkpoint).awaitTermination()
-    # Batch files carry no sequence; the message id stands in for it.
-    stored = spark.read.parquet(target).withColumn("seq", F.substring("id", 2, 20).cast("bigint"))
-    return history.history(stored).drop("seq", "first_seq")
+    streams.start_ingest(streams.batch_stream(spark, folder), target, checkpoint).awaitTermination()
+    unique = history.history(streams.load_ingested(spark, target), ordered=False)
+    return numbered(unique, *by_departure(unique)).drop("seq", "first_seq")
 
 

@@ -19,6 +19,8 @@ from tripmine.functions.text import evaluated, text
 from tripmine.operators import cost, enrich, extract, filters, stats
 from tripmine.plans import cost as cost_plans
 from tripmine.plans import gate as gates
+from tripmine.sinks.seen import SeenIds, id_key
+from tripmine.workspace import fresh_path
 from workload import tables as t
 from workload.catalog import check
 
@@ -83,6 +85,11 @@ def flt_search_v2(spark, sf_dir):
     return filters.search_tracker(t.mail(spark, sf_dir), 1996).select("seq", "id")
 
 
+@check("flt_search_v2_first", f"SELECT seq, id FROM mail WHERE {IN_1996} AND {V2_SEARCH} ORDER BY seq LIMIT 100")
+def flt_search_v2_first(spark, sf_dir):
+    return filters.search_tracker(t.mail(spark, sf_dir), 1996, limit=100).select("seq", "id")
+
+
 POTENTIAL = f"""(NOT {_any(SUBJECT, rules.POTENTIAL_EXCLUSIONS)} AND ({_any(SENDER, rules.POTENTIAL_DOMAINS)}
   OR {_any(SUBJECT, rules.POTENTIAL_INDICATORS)} OR regexp_matches(coalesce(subject, ''), '\\b[A-Z]{{2}}\\d{{3,4}}\\b')))"""
 
@@ -187,6 +194,15 @@ KEPT = """NOT EXISTS (SELECT 1 FROM decisions x WHERE x.email_id = mail.id AND N
   AND coalesce(x.confidence, 0) >= 0.6e0)"""
 
 
+@check("flt_remembered", "SELECT seq, id FROM mail WHERE id NOT IN (SELECT id FROM mail WHERE year(sent_at) < 1996)")
+def flt_remembered(spark, sf_dir):
+    """Two calls that share a table of remembered ids: what the second finds new."""
+    mail = t.mail(spark, sf_dir)
+    seen = SeenIds(spark, fresh_path(spark, "seen"))
+    seen.add(mail.where("year(sent_at) < 1996").select(id_key("id")))
+    return filters.unremembered(mail, seen).select("seq", "id")
+
+
 @check("flt_itinerary_gate", f"SELECT seq, id FROM mail WHERE {KEPT}", "mail decisions")
 def flt_itinerary_gate(spark, sf_dir):
     return enrich.itinerary_gate(t.mail(spark, sf_dir), t.decisions(spark, sf_dir)).select("seq", "id")
@@ -247,6 +263,22 @@ def join_airline_rules(spark, sf_dir):
     return found.select("seq", "airline")
 
 
+@check(
+    "join_airline_rules_large",
+    f"""WITH words AS (SELECT seq, {WORDS_OF_MAIL} AS words, {SENDER} AS address FROM mail),
+    hits AS (SELECT seq, priority, field, needle, airline FROM words JOIN airline_rules
+      ON (field = 'text' AND contains(words, needle)) OR (field = 'sender' AND contains(address, needle))),
+    first AS (SELECT seq, airline, row_number() OVER (PARTITION BY seq
+      ORDER BY priority, field, needle, airline NULLS FIRST) AS rn FROM hits)
+    SELECT mail.seq, coalesce(first.airline, '{rules.UNKNOWN_AIRLINE}') AS airline
+    FROM mail LEFT JOIN first ON mail.seq = first.seq AND rn = 1""",
+    "mail airline_rules",
+)
+def join_airline_rules_large(spark, sf_dir):
+    found = enrich.airline_by_rules(t.mail(spark, sf_dir), t.airline_rules(spark, sf_dir))
+    return found.select("seq", "airline")
+
+
 TRUTH = """seq, t_number AS flight_number, t_date AS departure_datetime, '' AS arrival_datetime, t_dep AS departure_airport,
   t_arr AS arrival_airport, t_code AS confirmation_code, t_airline AS airline"""
 

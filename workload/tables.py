@@ -227,6 +227,20 @@ SELECT id AS email_id,
   CASE WHEN seq % 3 = 0 THEN NULL ELSE 0.7e0 END AS confidence
 FROM mail WHERE seq % 4 <> 0"""
 
+#: A rule per booking code, many of one priority, and needles of two letters to a phrase.
+AIRLINE_RULES_SQL = """
+SELECT CAST(o_orderkey % 3 AS INT) AS priority, 'text' AS field,
+  lower(concat(substr('BCDFGHJKLM', CAST(o_orderkey % 10 AS INT) + 1, 1), lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0'))) AS needle,
+  concat('Carrier ', CAST(o_custkey % 50 AS STRING)) AS airline FROM orders
+UNION ALL SELECT 1, 'text', 'vn', 'Two Letters'
+UNION ALL SELECT 1, 'sender', 'united.com', 'By Domain'
+UNION ALL SELECT 1, 'sender', 'a', NULL
+UNION ALL SELECT 2, 'text', 'your flight ', 'By Phrase'
+UNION ALL SELECT 2, 'text', 'z', 'One Letter'
+UNION ALL SELECT 3, 'sender', 'united.com', 'Later'
+UNION ALL SELECT 0, 'body', 'e', 'No Field'
+UNION ALL SELECT 0, 'text', NULL, 'No Needle'"""
+
 HALF = "CASE WHEN month(sent_at) <= 6 THEN 'a' ELSE 'b' END"
 CHUNK = 10_000
 
@@ -243,6 +257,10 @@ def landed(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     return _landed[key]
 
 
+def _spread(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -253,25 +271,33 @@ def _derived(spark: SparkSession, sf_dir: str, query: str, **views: DataFrame) -
     for name in ("orders", "documents", "conversations"):
         if re.search(rf"FROM {name}\b", query):
             # One small file per table: spread its rows over all cores.
-            frames[name] = given(spark, sf_dir, name).repartition(32)
+            frames[name] = given(spark, sf_dir, name).repartition(_spread(spark))
     query = re.sub(r"FROM (\w+)\b", lambda m: f"FROM {{{m[1]}}}" if m[1] in frames else m[0], query)
     return spark.sql(query, **frames)
 
 
-def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed mail, in files by the time it was sent."""
+def mail_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of landed mail, in files by the time it was sent."""
 
     def write(path: str) -> None:
         df = _derived(spark, sf_dir, mail_sql("spark")).select(*MAIL_COLUMNS)
         df = df.withColumn("labels", F.array("label", F.lit("TRAVEL"))).drop("label")
-        df.repartitionByRange(32, "sent_at", "seq").sortWithinPartitions("sent_at", "seq").write.parquet(path)
+        df.repartitionByRange(_spread(spark), "sent_at", "seq").sortWithinPartitions("sent_at", "seq").write.parquet(path)
+
+    return landed(spark, sf_dir, "mail", write)
+
+
+def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(mail_folder(spark, sf_dir))
+
 
-    return spark.read.parquet(landed(spark, sf_dir, "mail", write))
+def airline_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, AIRLINE_RULES_SQL)
 
 
 def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
-        _derived(spark, sf_dir, FLIGHTS_SQL).repartition(32).write.parquet(path)
+        _derived(spark, sf_dir, FLIGHTS_SQL).repartition(_spread(spark)).write.parquet(path)
 
     return spark.read.parquet(landed(spark, sf_dir, "flights", write))
 
