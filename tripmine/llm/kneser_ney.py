@@ -9,10 +9,11 @@ Counts come from every trusted document: each task counts its own text, partial
 sums meet by key. Lower orders count distinct left neighbours, each order has three
 discounts from its own counts of counts, and the probability of each n-gram seen is
 joined from the next lower order. Tables of probabilities and back-off weights are
-cut into shards by the last context unit. All that one position needs, seen or
-backed off, lies in one shard, so documents meet the shards one by one and a
-document's sum is the sum over shards. A shard has about ``SHARD`` rows at most (a
-single unit's rows stay together), whatever the size of the corpus.
+cut into shards by the last two context units; pairs and single units, which are few,
+are in every shard. All that one position needs, seen or backed off, lies in one shard,
+so documents meet the shards one by one and a document's sum is the sum over shards.
+A shard has about ``SHARD`` rows beside the pairs, whatever the size of the corpus,
+and is gone before the next one is sent.
 
 A document's perplexity is shrunk to that of its language by ``PRIOR`` units, as
 few characters say little. The threshold of a language lies ``REACH`` times as far
@@ -40,7 +41,7 @@ from tripmine.llm.ids import sized
 from tripmine.llm.shingles import rows_of
 from tripmine.workspace import as_table
 
-SHARD = 1_500_000
+SHARD = 1_000_000
 PRIOR = 60
 QUANTILE, REACH = 0.99, 2.0
 BIN = 0.002
@@ -68,14 +69,14 @@ def keys(stream: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held_keys, held_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in rows_of(batches, 2_000_000):
+    for batch in rows_of(batches, 500_000):
         texts = [units(t) for t in batch.column(0).to_pylist() if t and not t.isspace()]
         if not texts:
             continue
         new, counts = np.unique(keys(np.concatenate(texts)), return_counts=True)
         held_keys, back = np.unique(np.concatenate((held_keys, new)), return_inverse=True)
         held_counts = np.bincount(back, np.concatenate((held_counts, counts)), len(held_keys)).astype(np.int64)
-        if len(held_keys) > 1_000_000:
+        if len(held_keys) > 400_000:
             yield _counted(held_keys, held_counts)
             held_keys, held_counts = held_keys[:0], held_counts[:0]
     yield _counted(held_keys, held_counts)
@@ -130,14 +131,15 @@ def model(four: DataFrame) -> DataFrame:
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * lower_p
         probabilities = as_table(joined.select("k", p.alias("p")), f"p{n}")
         below = probabilities.select(F.col("k").alias("low"), F.col("p").alias("lower_p"))
-        unit = _part(F.col("k"), 1, 1) if n > 1 else F.lit(None).cast("bigint")
+        everywhere = F.lit(None).cast("bigint")
+        unit = _part(F.col("k"), 1, 2) if n > 2 else everywhere
         out.append(probabilities.select(F.lit(n).alias("n"), "k", F.log("p").alias("v"), unit.alias("unit")))
         if n > 1:
             weight = contexts.select(F.lit(1 - n).alias("n"), F.col("ctx").alias("k"), F.log("weight").alias("v"))
-            out.append(weight.withColumn("unit", _part(F.col("k"), 0, 1)))
+            out.append(weight.withColumn("unit", _part(F.col("k"), 0, 2) if n > 2 else everywhere))
         else:
             weight = contexts.select(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.log(F.col("weight") * uniform).alias("v"))
-            out.append(weight.withColumn("unit", F.lit(None).cast("bigint")))
+            out.append(weight.withColumn("unit", everywhere))
     table = out[0]
     for part in out[1:]:
         table = table.unionByName(part)
@@ -165,7 +167,7 @@ class Shard:
 
     def log_probability(self, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which positions are of this shard, and their natural log probabilities."""
-        mine = np.flatnonzero(in_shard((full >> np.uint64(16)) & np.uint64(0xFFFF), self.shards) == self.shard)
+        mine = np.flatnonzero(in_shard((full >> np.uint64(16)) & np.uint64(0xFFFFFFFF), self.shards) == self.shard)
         todo, out = full[mine], np.zeros(len(mine))
         left = np.arange(len(mine))
         for n in (4, 3, 2, 1):
@@ -183,21 +185,27 @@ class Shard:
         return mine, out
 
 
-def in_shard(unit: np.ndarray, shards: int) -> np.ndarray:
-    return (unit * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
+def in_shard(pair: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of two units packed into 32 bits; as :func:`_shard`."""
+    low, high = pair & np.uint64(0xFFFF), pair >> np.uint64(16)
+    return (low * np.uint64(40_503) + high * np.uint64(30_011)) % np.uint64(65_521) % np.uint64(shards)
+
+
+def _shard(pair: Column, shards: int) -> Column:
+    return (_part(pair, 0, 1) * 40_503 + _part(pair, 1, 1) * 30_011) % 65_521 % shards
 
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = held.value
-        for batch in rows_of(batches, 2_000_000):
+        for batch in rows_of(batches, 500_000):
             texts = [units(t or "") for t in batch.column(3).to_pylist()]
             if texts:
                 full = keys(np.concatenate(texts))
                 sizes = np.array([len(t) - 3 for t in texts])
                 at, value = shard.log_probability(full)
                 owner = np.repeat(np.arange(len(texts)), sizes)[at]
-                sums = np.bincount(owner, value, len(texts))
+                sums = np.bincount(owner, value, len(texts)).astype(float)
                 number = np.bincount(owner, minlength=len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:3], pa.array(sums), pa.array(number)],
@@ -210,14 +218,14 @@ def _score(held):
 def log_perplexity(docs: DataFrame, table: DataFrame) -> DataFrame:
     """Per ``doc_id, mark, lang``: sum ``s`` of log probabilities and number ``u`` of units of the text."""
     shards = max(1, math.ceil(table.count() / SHARD))
-    number = (F.col("unit") * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF))
-    place = F.pmod(number, F.lit(shards))
+    place = _shard(F.col("unit"), shards)
     schema = "doc_id bigint, mark bigint, lang string, s double, u bigint"
     texts, context, out = docs.select("doc_id", "mark", "lang", "text"), docs.sparkSession.sparkContext, None
     for i in range(shards):
         rows = table.where(F.col("unit").isNull() | (place == i)).select("n", "k", "v").toArrow()
         held = context.broadcast(Shard(rows, i, shards))
-        part = texts.mapInArrow(_score(held), schema).withColumn("shard", F.lit(i))
+        part = as_table(texts.mapInArrow(_score(held), schema).withColumn("shard", F.lit(i)), "sums")
+        held.destroy()
         out = part if out is None else out.unionByName(part)
     # equal rows have equal sums: one of them counts
     once = out.groupBy("doc_id", "mark", "lang", "shard").agg(F.min("s").alias("s"), F.min("u").alias("u"))
