@@ -1,9 +1,10 @@
 """Chat formatting from a declarative template, with SQL expressions only.
 
 A finite-state machine over roles checks the turn order of every conversation;
-the template then gives its text as segments, each with a loss flag. Characters
-that can begin a control string of the template are escaped inside texts and
-roles, so no text can forge a turn, and reading back gives the texts unchanged.
+the template then gives its text as segments, each with a loss flag. Where a control
+string of the template would begin inside a text or role, its first character is
+escaped, so no text can forge a turn, reading back gives the texts unchanged, and
+other text stays as it is.
 
 A conversation is one training sample: its turns come together in one row, in
 order of turn, then role, then text. Null roles and texts count as empty; a
@@ -19,9 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CODES = "abcdefghijklmnopqrstuvwxy"
-
-
 @dataclass(frozen=True)
 class Template:
     """Control strings around role and text, the roles that are learned, and the turn order.
@@ -45,21 +43,27 @@ class Template:
     )
     accepted: tuple[str, ...] = ("answered",)
 
-    def coded(self) -> list[tuple[str, str]]:
-        """Characters to escape and what stands for them; the backslash is last."""
-        firsts = dict.fromkeys(s[0] for s in (self.opening, self.middle, self.closing))
-        firsts.pop("\\", None)
-        return [*((c, "\\" + x) for c, x in zip(firsts, _CODES, strict=False)), ("\\", "\\z")]
-
-    def escaped(self, text: Column) -> Column:
-        for plain, code in reversed(self.coded()):
-            text = F.replace(text, F.lit(plain), F.lit(code))
+    def __post_init__(self):
+        if "\\" in self.opening + self.middle + self.closing:
+            raise ValueError("control strings hold no backslash")
+
+    def _codes(self) -> dict[str, str]:
+        """What stands for the first character of each control string."""
+        return {s: "\\" + code for s, code in zip((self.opening, self.middle, self.closing), "abc", strict=True)}
+
+    def escaped(self, text: Column, *, role: bool = False) -> Column:
+        """Text in which no control string begins; only their first characters and
+        backslashes are written otherwise. The middle one matters in roles only."""
+        text = F.replace(text, F.lit("\\"), F.lit("\\z"))
+        for control, code in self._codes().items():
+            if role or control != self.middle:
+                text = F.replace(text, F.lit(control), F.lit(code + control[1:]))
         return text
 
     def unescaped(self, text: Column) -> Column:
-        for plain, code in self.coded():
-            text = F.replace(text, F.lit(code), F.lit(plain))
-        return text
+        for control, code in self._codes().items():
+            text = F.replace(text, F.lit(code), F.lit(control[0]))
+        return F.replace(text, F.lit("\\z"), F.lit("\\"))
 
 
 TEMPLATE = Template()
@@ -89,7 +93,7 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
     def of_turn(t: Column) -> Column:
-        head = F.concat(F.lit(template.opening), template.escaped(t["role"]), F.lit(template.middle))
+        head = F.concat(F.lit(template.opening), template.escaped(t["role"], role=True), F.lit(template.middle))
         return F.array(
             segment(head, F.lit(False)),
             segment(template.escaped(t["text"]), t["role"].isin(*template.learned)),

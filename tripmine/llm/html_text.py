@@ -26,11 +26,12 @@ from tripmine.llm.shingles import rows_of
 
 _INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = set(
-    "script style noscript template head title iframe object svg math canvas audio video nav footer aside form button "
+    "script style noscript template head title iframe object svg canvas audio video nav footer aside form button "
     "select textarea input menu dialog".split()
 )
 _OUTSIDE = re.compile(
@@ -108,6 +109,13 @@ class _Page(HTMLParser):
             if tag in _INLINE and name not in _INLINE:
                 break
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections of any name are skipped; one that is never closed takes the rest."""
+        ends = [e + n for mark, n in (("]]>", 3), ("]>", 2)) if (e := self.rawdata.find(mark, i)) >= 0]
+        if not ends and (e := self.rawdata.find(">", i)) >= 0:
+            ends = [e + 1]
+        return min(ends, default=-1)
+
     def handle_data(self, data: str) -> None:
         if not self.elements[self.stack[-1]][2]:
             self.parts.append(data)
@@ -120,6 +128,8 @@ def main_text(html: str | None) -> str:
         return ""
     page = _Page()
     page.feed(html)
+    if page.rawdata.startswith(("<!", "<?")):
+        page.rawdata = ""  # a comment or declaration that is never closed takes the rest
     page.close()
     page.flush()
     elements, blocks = page.elements, page.blocks

@@ -116,14 +116,18 @@ class Template:
         # coverage may miss the rarest word: as many words as could be missing get windows
         spare = n - int(self.least * n - 1e-9) if self.least < 1 else 1
         seeds, held = sorted(here, key=lambda w: (len(places[w]), self.words.index(w))), 0
-        done = set()
+        done: set = set()
+        step = n // 8 + 1
         for w in seeds:
             for at in places[w]:
                 for of in (x for x, v in enumerate(self.words) if v == w):
-                    start = max(0, at - of - n // 4 - 2)
-                    if not any(abs(start - s) <= n // 8 for s in done):
-                        done.add(start)
-                        yield start, min(len(found), at + n - of + n // 4 + 2)
+                    if at - of not in done:
+                        # as long as the template, for copies that stand side by side
+                        done.add(at - of)
+                        yield max(0, at - of), min(len(found), at - of + n)
+                    if (wide := ("wide", (at - of) // step)) not in done:
+                        done.add(wide)
+                        yield max(0, at - of - n // 4 - step), min(len(found), at + n - of + n // 4 + step)
             held += self.count[w]
             if held >= spare:
                 break
@@ -138,10 +142,12 @@ class Template:
             matched = patience(window, self.words)
             if matched and len(matched) >= self.least * len(self.words) - 1e-9:
                 hits.append((len(matched), start + matched[0][0], start + matched[-1][0] + 1))
-        out, taken = [], []
-        for n, first, end in sorted(hits, key=lambda h: (-h[0], h[1], h[2])):
-            if all(end <= a or first >= b for a, b in taken):
-                taken.append((first, end))
+        out: list[tuple[str, float, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        for n, first, end in sorted(hits, key=lambda h: (-h[0], h[2] - h[1], h[1])):
+            at = bisect_left(taken, (first, end))
+            if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (first, end))
                 out.append((self.name, n / len(self.words), n, first, end))
         return sorted(out, key=lambda h: h[3])
 

@@ -86,13 +86,15 @@ WITH c AS (
     SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL
     SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
-e AS (SELECT *, replace(replace(replace(replace(text, '\', '\z'), ' ', '\c'), ':', '\b'), '#', '\a') AS safe,
-      replace(replace(replace(replace(role, '\', '\z'), ' ', '\c'), ':', '\b'), '#', '\a') AS name FROM t)
+e AS (SELECT *, replace(replace(replace(text, '\', '\z'), '### ', '\a## '), ' </turn>' || chr(10), '\c</turn>' || chr(10)) AS safe,
+      replace(replace(replace(replace(role, '\', '\z'), '### ', '\a## '), ': ', '\b '), ' </turn>' || chr(10), '\c</turn>' || chr(10)) AS name FROM t)
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(length(name) + length(safe) + 15)::BIGINT AS formatted_chars
+    sum(length(name) + length(safe) + 15)::BIGINT AS formatted_chars,
+    regexp_full_match(string_agg(role, chr(31) ORDER BY turn, role, text),
+        '(system\x1f)?user\x1fassistant(\x1fuser\x1fassistant)*') AS valid
 FROM e GROUP BY conv_id""")
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -119,6 +121,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("bigint").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
     )
 
 

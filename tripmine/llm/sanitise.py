@@ -157,7 +157,10 @@ def disclosures(docs: DataFrame) -> DataFrame:
     # counted where the lines are read; one row per term and task is moved
     of_term = words.join(sized(wanted), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log(F.col("n_et") * float(number) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    scored = pairs.join(of_term, "term").withColumn("disclosure", pmi / F.log(float(number) / F.col("n_e")))
+    # an entity met as often as there are lines is no secret: no term discloses it
+    secret = F.log(float(number) / F.col("n_e"))
+    share = F.when(F.col("n_e") < float(number), pmi / secret).otherwise(0.0)
+    scored = pairs.join(of_term, "term").withColumn("disclosure", share)
     return as_table(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "disclosures")
 
 

@@ -43,7 +43,7 @@ from tripmine.workspace import as_table
 
 #: Members of a group, and queries that one opening takes at a time.
 GROUP, QUERIES = 128, 512
-SETS = "doc_id bigint, n_shingles bigint, sid bigint, need int, class int"
+SETS = "doc_id bigint, mark bigint, n_shingles bigint, sid bigint, need int, class int"
 
 
 @dataclass(frozen=True)
@@ -113,10 +113,10 @@ def cells(shingles: np.ndarray, c: int, measure: Measure) -> tuple[np.ndarray, n
 def link_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``)."""
     measure = Measure(words, percent)
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("mark"))
     sets = as_table(docs.mapInArrow(_scan_sets(measure), SETS), "sets")
     first = sets.where("n_shingles > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.first("need").alias("need")
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("at"), F.first("need").alias("need")
     )
     first = as_table(first, "first")
     links = _links(docs, sets, first, measure)
@@ -184,9 +184,10 @@ def _open(docs: DataFrame, first: DataFrame, groups: DataFrame, opened: DataFram
         "sid", "g", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("pieces")).cast("int").alias("piece"), F.lit(True).alias("query")
     )
     places = as_table(members.unionByName(asking), "places")
-    wanted = as_table(places.select("sid").distinct().join(first, "sid").select("sid", "rep"), "wanted")
-    wanted = sized(wanted)
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("sid", "text")
+    held_in = first.select("sid", F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
+    wanted = sized(as_table(places.select("sid").distinct().join(held_in, "sid"), "wanted"))
+    # one id may stand for several texts, and no id for many
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["mark"] == wanted["_mark"])).select("sid", "text")
     tokens = as_table(texts.mapInArrow(_tokens(measure.words), "sid bigint, tokens binary"), "tokens")
     tokens = tokens.groupBy("sid").agg(F.first("tokens").alias("tokens"))
     held = places.join(tokens, "sid")
@@ -210,7 +211,7 @@ def _scan_sets(measure: Measure):
         for batch in rows_of(batches):
             columns = list(zip(*(row(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["doc_id", "mark", *names])
 
     return run
 
