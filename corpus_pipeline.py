@@ -24,20 +24,43 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedup_lines(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``_key, doc_id, text``: rows of one id and different texts have keys of their own."""
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    return docs.select(key.alias("_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    keys = sized(as_table(keys.toDF("_out").distinct(), "out"))
+    return docs.join(keys, F.xxhash64(docs["doc_id"], docs["text"]) == keys["_out"], "left_anti")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five words, 0.8); rows without words stay."""
-    found = token_groups.link_components(docs, words=5, percent=80)
-    spare = found.where("doc_id <> component_id AND n_shingles > 0").select(F.col("doc_id").alias("_spare")).distinct()
-    spare = sized(as_table(spare, "spare"))
-    return docs.join(spare, docs["doc_id"].cast("bigint") == spare["_spare"], "left_anti")
+    """The first document of each group of near copies (five words, 0.8); rows without words stay.
+
+    Rows alike in id and text are copies as well, and one of them stays.
+    """
+    keyed = _keyed(docs)
+    found = token_groups.link_components(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    found = as_table(found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id"), "groups")
+    rows = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    members = as_table(found.distinct().join(rows, "_key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("kept"))
+    spare = members.join(first, "component_id").where("_key <> kept").select("_key")
+    rest = _without(docs, spare)
+    repeated = as_table(members.where("n > 1").select(F.col("_key").alias("_again")), "repeated")
+    if repeated.isEmpty():
+        return rest
+    again = F.xxhash64(rest["doc_id"], rest["text"])
+    one = rest.join(sized(repeated), again == repeated["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(sized(repeated), again == repeated["_again"], "left_anti").unionByName(one)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = decontaminate.contained_items(docs, items).select(F.col("doc_id").alias("_held")).distinct()
-    held = sized(as_table(held, "held"))
-    return docs.join(held, docs["doc_id"].cast("bigint") == held["_held"], "left_anti")
+    keyed = _keyed(docs).select(F.col("_key").alias("doc_id"), "text")
+    return _without(docs, decontaminate.contained_items(keyed, items).select("doc_id"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
