@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20240501).integers(0, 1 << 64, 256, np.uint64)
