@@ -161,7 +161,6 @@ TRACKER_CONTEXT_WORDS = ["flight", "boarding", "departure", "arrival"]
 TRACKER_CONTEXT_STEP = 0.1
 TRACKER_CONTEXT_MAX = 0.2
 TRACKER_MIN_CONFIDENCE = 0.4
-TRACKER_BATCH_SIZE = 100
 
 # --- search rules ----------------------------------------------------------------
 
@@ -194,4 +193,3 @@ CHARS_PER_TOKEN = 4
 OUTPUT_TOKENS_EXTRACTION = 300
 OUTPUT_TOKENS_CLASSIFICATION = 60
 PROMPT_OVERHEAD_TOKENS = 200
-MAX_BODY_CHARS = 4000

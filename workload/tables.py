@@ -37,17 +37,17 @@ X = "x@example.com"
 TRIP = "Trip notice"
 
 FORMS = [
-    Form("Your VietJet Reservation #{code}", "noreply@vietjetair.com",
-         "Reservation # {code}\nFlight No. VJ {num}\nFrom: {dep} To: {arr}\nDate: {dtext}\n",
+    Form("VietJet reservation {code} received", "tickets@vietjetair.com",
+         "Reservation {code}\nFlight Number VJ {num}\nDeparture: {dep} Arrival: {arr}\nDate: {dtext}\n",
          "VietJet Air", "VJ{num}", "{code}", "{dtext}"),
-    Form("Flight confirmation", "no-reply@example.com",
-         "Flight: AA {num}\nFrom: {dep} To: {arr}\nConfirmation Code: {code}\n",
+    Form("Flight booked", "desk@example.com",
+         "Flight: AA {num}\nDeparture: {dep} Arrival: {arr}\nBooking code: {code}\n",
          "Unknown Airline", "AA{num}", "{code}"),
-    Form("LATAM - Confirmacion de vuelo", "info@latam.com",
-         "Vuelo: LA {num}\nDe: Ciudad Uno ({dep}) a Ciudad Dos ({arr})\nCodigo de reserva: {code}\n",
+    Form("LATAM: vuelo reservado", "ventas@latam.com",
+         "Vuelo LA {num}\nSalida: Ciudad ({dep}) Llegada: Puerto ({arr})\nReserva: {code}\n",
          "LATAM Airlines", "LA{num}", "{code}"),
-    Form("Confirmacao de voo", "noreply@voegol.com.br",
-         "Voo: G3 {num}\nOrigem: Cidade Um ({dep}) Destino: Cidade Dois ({arr})\nConfirmacao: {code}\n",
+    Form("GOL: bilhete emitido", "avisos@voegol.com.br",
+         "Numero do voo: G3 {num}\nDesde Porto ({dep}) para Cidade ({arr})\nReferencia: {code}\n",
          "GOL", "G3{num}", "{code}"),
     Form("Your hotel booking confirmation", "stay@booking.com", "Two nights, ref {code}\n"),
     Form("Weekly offers", "news@example.com", "Save on bags this week\n"),
