@@ -37,10 +37,22 @@ def test_date_range_reaches_the_scan(spark, sf_dir):
 
 def test_history_reads_no_unused_column_and_runs_patterns_once(spark, sf_dir):
     text = plan(checks.queries()["history_v1"](spark, sf_dir))
-    assert "ReadSchema: struct<seq:bigint,id:string,subject:string,sender:string,body:string>" in text
+    assert "ReadSchema: struct<seq:bigint,subject:string,sender:string,body:string>" in text
     assert not re.search(r"Filter [^\n]*regexp", text)
 
 
+@pytest.mark.parametrize(("name", "unread"), [("ext_v2", "sent_at"), ("src_normalise_messages", "snippet")])
+def test_unused_columns_are_not_read(spark, sf_dir, name, unread):
+    text = plan(checks.queries()[name](spark, sf_dir).select("seq"))
+    schemas = re.findall(r"ReadSchema: (\S+)", text)
+    assert schemas and all(unread not in s for s in schemas)
+
+
+def test_statistics_scan_once(spark, sf_dir):
+    text = plan(checks.queries()["tracker_statistics_v2"](spark, sf_dir))
+    assert text.count("FileScan") == 1
+
+
 def test_bodies_do_not_enter_a_shuffle(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
