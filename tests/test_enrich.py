@@ -150,3 +150,13 @@ def test_small_scalars(spark):
     ]
     df = spark.createDataFrame([("abcd",), ("abcde",), ("",), ("é😀",)], "t string")
     assert [r[0] for r in df.select(scalars.token_estimate(F.col("t"))).collect()] == [1, 2, 0, 1]
+
+
+def test_rules_of_one_needle_meet_a_mail_once(spark, mails):
+    """Thousands of rules share a needle: their first wins, and the others join with nothing."""
+    rows = [(5, "text", f"code{i % 40}", f"A{i:05}") for i in range(6000)] + [(9, "text", "z", "Z"), (1, "text", "code7", None), (9, "sender", "code", "S")]
+    keyword_rules = spark.createDataFrame(rows, "priority int, field string, needle string, airline string")
+    mail = mails(("code7", "x", None), ("Code12 code30", "x", "z"), ("z", "x", "y"), ("s", "code", "b"), ("s", "x", "b"))
+    found = enrich.airline_by_rules(mail, keyword_rules)
+    assert {r.seq: r.airline for r in found.collect()} == {0: "Unknown Airline", 1: "A00001", 2: "Z", 3: "S", 4: "Unknown Airline"}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

@@ -11,10 +11,13 @@ from tripmine.functions.text import blank_to_null
 from tripmine.operators.dedup import valid_flight
 from tripmine.operators.extract import flight
 from tripmine.schemas import FLIGHT_FIELDS, FLIGHT_TEXT_FIELDS
+from tripmine.workspace import as_table
 
 #: Rule tables up to this many rows and bytes travel as one value.
 INLINE_RULES = 5_000
 INLINE_CHARS = 500_000
+#: Needles of a length class up to this many, and their bytes, that are searched one by one.
+FEW_NEEDLES, FEW_CHARS = 32, 4_000
 #: Size of the filter over starts of needles, half a megabyte.
 FILTER_BITS = 1 << 22
 
@@ -96,20 +99,28 @@ def airline_by_rules(
     size = F.coalesce(F.sum(F.octet_length("needle") + F.coalesce(F.octet_length("airline"), F.lit(0))), F.lit(0))
     rows, total = keyword_rules.agg(F.count("*"), size).first()
     if rows > inline_rules or total > INLINE_CHARS:
-        return _airline_by_index(mail, keyword_rules, key)
+        return _airline_by_index(mail, keyword_rules, key, min(FEW_NEEDLES, inline_rules))
     rule = F.struct("priority", "field", "needle", "airline")
-    table = keyword_rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar()
-    haystacks = with_haystacks(mail).withColumn("__rules", table)
+    haystacks = with_haystacks(mail).withColumn("__rules", _rule_list(keyword_rules, rule))
+    return haystacks.withColumn(
+        "airline", F.coalesce(_first_rule()["airline"], F.lit(rules.UNKNOWN_AIRLINE))
+    ).drop("__words", "__address", "__rules")
+
+
+def _rule_list(keyword_rules: DataFrame, rule: Column) -> Column:
+    """A small table of rules as one array, in the order of ``rule``."""
+    return keyword_rules.agg(F.sort_array(F.collect_list(rule)).alias("rules")).scalar()
+
+
+def _first_rule() -> Column:
+    """The first of ``__rules`` whose needle is in the mail, null without one."""
 
     def applies(r: Column) -> Column:
         return F.when(r["field"] == "text", F.col("__words").contains(r["needle"])).otherwise(
             F.col("__address").contains(r["needle"])
         )
 
-    hit = F.get(F.filter("__rules", applies), F.lit(0))
-    return haystacks.withColumn(
-        "airline", F.coalesce(hit["airline"], F.lit(rules.UNKNOWN_AIRLINE))
-    ).drop("__words", "__address", "__rules")
+    return F.get(F.filter("__rules", applies), F.lit(0))
 
 
 def needle_classes(keyword_rules: DataFrame) -> DataFrame:
@@ -136,61 +147,66 @@ def _piece_filter(lookup: DataFrame) -> Column:
     return every.agg(F.transform(listed, lambda w: w["bits"])).scalar()
 
 
-def _runs(source: str, cut: int) -> tuple[Column, Column]:
-    """The pieces of a text (``__pieces``), and from them what starts at each place of a text that has ``cut`` characters from there on, twice
-    ``cut`` less one at most. Texts are taken in pieces, as finding a character takes a walk to it."""
+def _pieces(source: str, cut: int) -> Column:
+    """A text in pieces, as finding a character takes a walk to it. Each has what follows
+    it as well, so that any ``2 * cut - 1`` characters lie in one."""
     step = max(64, 2 * cut)
-    pieces = F.regexp_extract_all(source, F.lit(rf"(?s)(.{{1,{step}}})"), F.lit(1))
-    longer = F.transform(
-        F.sequence(F.lit(0), F.size("__pieces") - 1),
-        lambda j: F.concat(F.get("__pieces", j), F.coalesce(F.substring(F.get("__pieces", j + 1), 1, 2 * cut - 2), F.lit(""))),
-    )
-    starts = lambda p, j: F.least(F.char_length(F.get("__pieces", j)), F.char_length(p) - (cut - 1))
-    of_piece = lambda p, j: F.when(
-        starts(p, j) >= 1,
-        F.transform(F.sequence(F.lit(1), starts(p, j)), lambda i: F.substring(p, i, F.lit(2 * cut - 1))),
-    ).otherwise(F.array().cast("array<string>"))
-    return pieces, F.flatten(F.transform(longer, of_piece))
+    return F.regexp_extract_all(source, F.lit(rf"(?s)(?=(.{{1,{step + 2 * cut - 2}}})).{{1,{step}}}"), F.lit(1))
 
 
-def _airline_by_index(mail: DataFrame, keyword_rules: DataFrame, key: str) -> DataFrame:
+def _met(mail: DataFrame, key: str, field: str, cut: int, known: Column) -> DataFrame:
+    """``key, field, cut, piece, run``: the places of a mail's field where the filter holds the next ``cut`` characters."""
+    step = max(64, 2 * cut)
+    starts = F.least(F.lit(step), F.char_length("part") - (cut - 1))
+    parts = mail.select(key, F.explode(_pieces({"text": "__words", "sender": "__address"}[field], cut)).alias("part"))
+    places = parts.where(starts >= 1).select(key, "part", F.explode(F.sequence(F.lit(1), starts)).alias("at"))
+    rows = places.select(key, "part", "at", F.substring("part", F.col("at"), F.lit(cut)).alias("piece"))
+    place = _place(F.lit(field), "piece")
+    word = F.get(known, F.shiftright(place, 6).cast("int"))
+    rows = rows.where(F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    run = F.substring("part", F.col("at"), F.lit(2 * cut - 1)).alias("run")
+    return rows.select(key, F.lit(field).alias("field"), F.lit(cut).alias("cut"), "piece", run)
+
+
+def _airline_by_index(mail: DataFrame, keyword_rules: DataFrame, key: str, few: int) -> DataFrame:
     """The same answer for rule tables of any size.
 
-    Needles are indexed by length class, by their first 1, 2, 4, 8 ... characters. In the
-    row, a text is cut to the pieces of each class, and those that no needle starts
-    with are dropped there by a bit filter of fixed size; what is left is a few
-    rows per mail. They meet the index on equal pieces, are checked for the whole needle,
-    and reduce to one rule per mail with a partial step. ``key`` has to be unique.
+    Of the rules of one field and needle only the first can win, so the others leave before
+    anything is searched. Needles are in length classes, by their first 1, 2, 4, 8 ...
+    characters. Those of a class of ``few`` at most are searched one by one in the row. For
+    any other class, the places of a text where none of its needles starts are dropped by a
+    bit filter of fixed size; what is left is a few rows per mail. They meet the index
+    on equal pieces, are checked for the whole needle, and reduce to one rule per mail with
+    a partial step. ``key`` has to be unique.
     """
-    lookup = needle_classes(keyword_rules)
+    first = F.min(F.struct("priority", "airline")).alias("first")
+    needles = keyword_rules.groupBy("field", "needle").agg(first).select("first.priority", "field", "needle", "first.airline")
+    # numbered in the order in which they win
+    needles = needles.orderBy("priority", "field", "needle").withColumn("number", F.monotonically_increasing_id())
+    needles = as_table(needles.drop("priority"), "needles")
+    lookup = needle_classes(needles)
     # one row per field and power of two
-    cuts = [tuple(r) for r in lookup.select("field", "cut").distinct().orderBy("field", "cut").collect()]
-    haystacks = with_haystacks(mail).select(key, "__words", "__address")
-    known = _piece_filter(lookup) if cuts else None
-    found = None
+    classes = lookup.groupBy("field", "cut").agg(F.count("*").alias("n"), F.sum(F.octet_length("needle")).alias("size"))
+    cuts = [(r.field, r.cut) for r in classes.orderBy("field", "cut").collect() if r.n > few or r.size > FEW_CHARS]
+    large = F.lit(False)
     for field, cut in cuts:
-        pieces, runs = _runs({"text": "__words", "sender": "__address"}[field], cut)
-
-        def held(run: Column, field: str = field, cut: int = cut) -> Column:
-            at = _place(F.lit(field), F.substring(run, 1, cut))
-            return F.getbit(F.get("__filter", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-        cut_up = haystacks.select(key, pieces.alias("__pieces")).withColumn("__filter", known)
-        rows = cut_up.select(key, F.explode(F.array_distinct(F.filter(runs, lambda r: held(r)))).alias("run"))
-        rows = rows.select(key, F.lit(field).alias("field"), F.lit(cut).alias("cut"), "run")
-        found = rows if found is None else found.unionByName(rows)
-    best = keyword_rules.where("needle = ''").agg(F.min(F.struct("priority", "field", "needle", "airline"))).scalar()
-    if found is None:
-        return mail.withColumn("airline", F.coalesce(best["airline"], F.lit(rules.UNKNOWN_AIRLINE)))
-    met = found.withColumn("piece", F.expr("substring(run, 1, cut)")).join(lookup, ["field", "cut", "piece"])
-    hits = (
-        met.where(F.col("run").startswith(F.col("needle")))
-        .groupBy(key)
-        .agg(F.min(F.struct("priority", "field", "needle", "airline")).alias("__rule"))
-    )
-    first = F.array_min(F.array_compact(F.array("__rule", best)))
+        large |= (F.col("field") == field) & (F.col("cut") == cut)
+    haystacks = with_haystacks(mail)
+    listed = needles.where("needle = ''").unionByName(lookup.where(~large).drop("cut", "piece"))
+    searched = haystacks.withColumn("__rules", _rule_list(listed, F.struct("number", "field", "needle", "airline")))
+    if not cuts:
+        found = F.coalesce(_first_rule()["airline"], F.lit(rules.UNKNOWN_AIRLINE))
+        return searched.withColumn("airline", found).drop("__words", "__address", "__rules")
+    lookup = lookup.where(large)
+    known = _piece_filter(lookup)
+    hits = searched.select(key, _first_rule()["number"].alias("number")).where("number IS NOT NULL")
+    for field, cut in cuts:
+        met = _met(haystacks, key, field, cut, known).join(lookup, ["field", "cut", "piece"])
+        hits = hits.unionByName(met.where(F.col("run").startswith(F.col("needle"))).select(key, "number"))
+    hits = hits.groupBy(key).agg(F.min("number").alias("number"))
+    hits = hits.join(needles.select("number", F.col("airline").alias("__airline")), "number").select(key, "__airline")
     return (
         mail.join(hits, key, "left")
-        .withColumn("airline", F.coalesce(first["airline"], F.lit(rules.UNKNOWN_AIRLINE)))
-        .drop("__rule")
+        .withColumn("airline", F.coalesce("__airline", F.lit(rules.UNKNOWN_AIRLINE)))
+        .drop("__airline")
     )
