@@ -97,3 +97,24 @@ def test_columns_of_any_name_are_kept(spark):
     assert sorted(tuple(r) for r in found.collect()) == [
         (1, "one line", "g", "l", 5, "n", 8), (2, "mine", "h", "m", 6, "o", 4), (2, "mine", "i", "k", 7, "p", 4)
     ]
+
+
+@pytest.mark.parametrize("unlike", [0, 40])
+def test_buckets_the_last_level_leaves_open_are_compared_whole(spark, monkeypatch, unlike):
+    """Every pair of lines that share a band is compared or joined, also where leaders say nothing of it."""
+    monkeypatch.setattr(fuzzy_lines, "LEVELS", fuzzy_lines.LEVELS[:1])
+    rng = random.Random(8)
+    stem = " ".join(word(rng, 3, 8) for _ in range(24))
+    lines = [f"{stem} {' '.join(word(rng, 3, 8) for _ in range(9))}" for _ in range(unlike or 4)]
+    # chains, whose ends are alike to their neighbours alone
+    for line in list(lines):
+        for _ in range(2 if unlike else 12):
+            line = edited(rng, line, 3)
+            lines.append(line)
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = fuzzy_lines.as_table(fuzzy_lines.signed_lines(docs))
+    bands = {r.name: (set(r.bands), brute.chars(rows[r.doc_id][1])) for r in signed.collect() if r.bands}
+    found = [(r.a, r.b) for r in fuzzy_lines.links(docs, signed, bucket=6).collect()]
+    every = [(a, b) for a, (x, s) in bands.items() for b, (y, t) in bands.items() if a < b and x & y and len(s & t) >= 0.8 * len(s | t) - 1e-9]
+    assert brute.components(bands, found) == brute.components(bands, every)

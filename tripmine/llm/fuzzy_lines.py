@@ -11,9 +11,10 @@
    links so far do not join and gives the links that join parts of it; buckets of the
    same lines are settled once. The lines of a
    larger one are held against ``LEADERS`` of them, by joins that may be split; where that
-   leaves any open, the bucket's lines are signed anew with more and longer bands
-   (``LEVELS``), whose buckets hold fewer unlike lines and find a pair of 0.8 as surely. No
-   task holds a large bucket, and none is paired out.
+   does not join the whole bucket, its lines are signed anew with more and longer bands
+   (``LEVELS``), whose buckets hold fewer unlike lines and find a pair of 0.8 as surely. What
+   the last level leaves open is cut into blocks, and every two blocks are settled by a
+   task: all its pairs are compared. No task holds a large bucket.
 3. Candidates are verified by the exact Jaccard similarity of their sets of all
    8-character shingles, at 0.8.
 4. A distributed union-find over verified links gives components; the first line of
@@ -234,6 +235,32 @@ def _texts(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
     return as_table(texts.dropDuplicates(["name"]), "texts")
 
 
+def _open(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """``key`` of the buckets that their lines' links to leaders do not join to one part.
+
+    ``held`` has ``key, name, place, leader``. A line is the set of the leaders it is like;
+    overlapping sets are one part, and after a pass for each leader it is whole.
+    """
+    linked = edges.select(F.col("a").alias("name"), F.col("b").alias("leader"), F.lit(True).alias("linked")).distinct()
+    like = F.when(F.col("linked") | (F.col("name") == F.col("leader")), F.expr("shiftleft(1, place)")).otherwise(0)
+    sets = held.join(linked, ["name", "leader"], "left").groupBy("key", "name").agg(F.bit_or(like).alias("set"))
+    sets = sets.groupBy("key").agg(F.collect_set("set").alias("sets"), F.min("set").alias("part"))
+    for _ in range(LEADERS):
+        grown = F.aggregate("sets", F.col("part"), lambda p, s: F.when(p.bitwiseAND(s) != 0, p.bitwiseOR(s)).otherwise(p))
+        sets = sets.select("key", "sets", grown.alias("part"))
+    return sets.where(F.exists("sets", lambda s: s.bitwiseAND(F.col("part")) == 0)).select("key")
+
+
+def _blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows ``key, name`` in which any two lines of a bucket of ``n`` share a key, each of about ``bucket`` lines."""
+    blocks = F.ceil(2 * F.col("n") / bucket).cast("int")
+    mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "name", "mine", other)
+    return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "name")
+
+
 def links(docs: DataFrame, lines: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Verified links ``a, b`` between names of lines."""
     led = _counted(_shared(lines.select(F.explode("bands").alias("key"), "name")))
@@ -250,18 +277,19 @@ def links(docs: DataFrame, lines: DataFrame, bucket: int = BUCKET) -> DataFrame:
         leaders = big.groupBy("key").agg(*(F.min(F.when(part == i, F.col("name"))).alias(f"l{i}") for i in range(LEADERS)))
         leaders = leaders.select("key", F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders"))
         leaders = sized(as_table(leaders, "leaders"), 16 + 8 * F.size("leaders"))
-        held = big.join(leaders, "key").select("key", "name", F.explode("leaders").alias("leader"))
+        held = big.join(leaders, "key").select("key", "name", F.posexplode("leaders").alias("place", "leader"))
         pairs = held.where("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
         left, right = (texts.select(F.col("name").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
         pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
         edges = as_table(edges.unionByName(pairs.mapInArrow(_pairs, EDGES)), "links")
         found = edges if found is None else found.unionByName(edges)
-        # lines of buckets in which some are like no leader go on
-        settled = held.join(edges.select(F.col("a").alias("name"), F.col("b").alias("leader")), ["name", "leader"], "left_semi")
-        settled = settled.unionByName(held.where("name = leader")).select("key", "name").distinct()
-        open_ = sized(as_table(big.join(settled, ["key", "name"], "left_anti").select("key").distinct(), "open"))
-        if level == len(LEVELS) or open_.isEmpty():
+        open_ = sized(as_table(_open(held, edges), "open"))
+        if open_.isEmpty():
             break
+        if level == len(LEVELS):
+            rest = as_table(_blocks(led.join(open_, "key"), bucket).join(texts, "name").select("key", "name", "line").repartition("key")
+                            .sortWithinPartitions("key").mapInArrow(_buckets, EDGES), "links")
+            return found.unionByName(rest)
         again = texts.join(big.join(open_, "key").select("name"), "name", "left_semi").select("name", "line")
         led = _counted(again.mapInArrow(_resign(level), "key bigint, name bigint"))
     return found
