@@ -289,7 +289,8 @@ def links(docs: DataFrame, lines: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if level == len(LEVELS):
             rest = as_table(_blocks(led.join(open_, "key"), bucket).join(texts, "name").select("key", "name", "line").repartition("key")
                             .sortWithinPartitions("key").mapInArrow(_buckets, EDGES), "links")
-            return found.unionByName(rest)
+            # many blocks and levels find the same links
+            return found.unionByName(rest).distinct()
         again = texts.join(big.join(open_, "key").select("name"), "name", "left_semi").select("name", "line")
         led = _counted(again.mapInArrow(_resign(level), "key bigint, name bigint"))
     return found
