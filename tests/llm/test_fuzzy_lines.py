@@ -118,3 +118,52 @@ def test_buckets_the_last_level_leaves_open_are_compared_whole(spark, monkeypatc
     found = [(r.a, r.b) for r in fuzzy_lines.links(docs, signed, bucket=6).collect()]
     every = [(a, b) for a, (x, s) in bands.items() for b, (y, t) in bands.items() if a < b and x & y and len(s & t) >= 0.8 * len(s | t) - 1e-9]
     assert brute.components(bands, found) == brute.components(bands, every)
+
+
+def test_links_given_grow_with_the_lines_of_a_family(spark, monkeypatch):
+    """Lines that are joined already are not linked anew in every two blocks of an open bucket."""
+    monkeypatch.setattr(fuzzy_lines, "LEVELS", fuzzy_lines.LEVELS[:1])
+    rng = random.Random(12)
+    stem = " ".join(word(rng, 3, 8) for _ in range(30))
+    lines = [f"{stem} {word(rng, 4, 4)}" for _ in range(160)]
+    lines += [f"{stem} {' '.join(word(rng, 3, 8) for _ in range(9))}" for _ in range(8)]
+    lines += [line[:-1] + "Q" for line in lines[160:]]
+    rows = list(enumerate(lines))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    signed = fuzzy_lines.as_table(fuzzy_lines.signed_lines(docs))
+    write, given = fuzzy_lines.as_table, []
+
+    def written(df, name="table"):
+        table = write(df, name)
+        if name == "links":
+            given.append(table.count())
+        return table
+
+    monkeypatch.setattr(fuzzy_lines, "as_table", written)
+    found = [(r.a, r.b) for r in fuzzy_lines.links(docs, signed, bucket=6).collect()]
+    assert sum(given) <= 20 * len(lines)
+    texts = {r.name: lines[r.doc_id] for r in signed.collect()}
+    parts = brute.components(texts, found)
+    first = {}
+    for name, text in texts.items():
+        first.setdefault(parts[name], []).append(text)
+    assert max(map(len, first.values())) == 160
+
+
+def test_places_leave_out_no_pair_that_is_alike():
+    rng = random.Random(13)
+    stem = [word(rng, 2, 8) for _ in range(60)]
+    lines = {}
+    for name in range(90):
+        words = list(stem)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(60)] = word(rng, 2, 8)
+        lines[name] = " ".join(words)
+    lines |= {100: "abc", 101: "abc" * 300, 102: "abc" * 299, 103: "字" * 20}
+    sets = [fuzzy_lines.shingle_set(t) for t in lines.values()]
+    maybe = fuzzy_lines.may_be_alike(sets)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if fuzzy_lines.alike(sets[i], sets[j])]
+    assert all(maybe[i, j] for i, j in pairs) and len(pairs) < maybe.size / 2
+    names = list(lines)
+    every = [(names[i], names[j]) for i, j in pairs if i != j]
+    assert brute.components(names, fuzzy_lines.family_links(lines)) == brute.components(names, every)

@@ -6,15 +6,17 @@
    probability 0.995, of 0.9 with 0.99997; unlike lines (0.1) with 0.001, so candidates
    grow with the lines. A task signs a line once, where it first meets it, so copies
    cost a row and no signature.
-2. Lines that share a band are a bucket; buckets are counted with a partial step. One of
-   ``BUCKET`` lines at most is settled by one task, which compares every pair that its
-   links so far do not join and gives the links that join parts of it; buckets of the
-   same lines are settled once. The lines of a
-   larger one are held against ``LEADERS`` of them, by joins that may be split; where that
-   does not join the whole bucket, its lines are signed anew with more and longer bands
-   (``LEVELS``), whose buckets hold fewer unlike lines and find a pair of 0.8 as surely. What
-   the last level leaves open is cut into blocks, and every two blocks are settled by a
-   task: all its pairs are compared. No task holds a large bucket.
+2. Lines that share a band are a bucket; buckets are counted with a partial step, and those
+   of the same lines are settled once. One of ``BUCKET`` lines at most is settled by one
+   task, which compares every pair that its links so far do not join and gives the links
+   that join parts of it. A larger one is dealt into chunks that are settled so, each
+   together with the same ``LEADERS`` lines of the bucket. What all links of all buckets join is
+   one part from then on: a bucket of one part is done, and lines of one part are compared
+   no more. The pairs left in larger buckets are compared, by two blocks a task, if they are
+   ``COMPARED`` for each line of the corpus at most; else the lines of open buckets are signed
+   anew with more and longer bands (``LEVELS``), whose buckets hold fewer unlike lines and
+   find a pair of 0.8 as surely. After the last level all that is left is compared. No task
+   holds a large bucket.
 3. Candidates are verified by the exact Jaccard similarity of their sets of all
    8-character shingles, at 0.8.
 4. A distributed union-find over verified links gives components; the first line of
@@ -52,6 +54,12 @@ LEVELS = ((10, 4), (20, 6), (48, 9), (80, 12))
 BANDS = LEVELS[0][0]
 #: Lines of a bucket that one task settles, and leaders that those of a larger one are held against.
 BUCKET, LEADERS = 128, 4
+#: Pairs of open buckets that are compared at once, for each line of the corpus, instead of signing their lines anew.
+COMPARED = 32
+#: Lines for which a task is used, and tasks that there are at least: small tables are not cut into hundreds of files.
+TASK_LINES, TASKS = 10_000, 8
+#: Places that shingles are hashed to where more than a few lines are compared.
+PLACES, FEW = 2048, 8
 #: Lines a task remembers as signed, and characters it signs together.
 KNOWN, SIGNED_CHARS = 200_000, 40_000
 
@@ -158,44 +166,55 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
-def family_links(lines: dict[int, str]) -> list[tuple[int, int]]:
-    """Links that join the parts of a bucket; every pair not joined yet is compared."""
-    names, root = list(lines), list(range(len(lines)))
+def may_be_alike(sets: list[set[str]]) -> np.ndarray:
+    """Pairs that may be alike, by places of hashed shingles: a place that only one of two sets
+    has is a shingle that only that one has, so no pair that is alike is left out."""
+    held = np.zeros((len(sets), PLACES), np.float32)
+    for row, shingles in zip(held, sets, strict=True):
+        row[np.fromiter(map(hash, shingles), np.int64, len(shingles)) & (PLACES - 1)] = 1
+    sizes = np.fromiter(map(len, sets), np.float64, len(sets))
+    common = sizes[:, None] - (held.sum(axis=1)[:, None] - held @ held.T)
+    common = np.minimum(common, common.T)
+    return common >= SIMILARITY * (sizes[:, None] + sizes - common) - 1e-6
+
+
+def family_links(lines: dict[int, str], parts: list[int] | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join the parts of a bucket; every pair not joined yet is compared.
+
+    Lines of one of ``parts`` are joined before; those of one side (other than 0) are compared elsewhere.
+    """
+    names, root = list(lines), np.array(parts or range(len(lines)), np.int64)
+    if len(set(root.tolist())) < 2:
+        return []
+    side = np.array(sides or [0] * len(names))
     sets = [shingle_set(t) for t in lines.values()]
+    open_ = (root[:, None] != root) & ((side[:, None] == 0) | (side[:, None] != side))
+    if len(names) > FEW:
+        open_ &= may_be_alike(sets)
     found = []
-    for j in range(1, len(names)):
-        for i in range(j):
-            if root[i] != root[j] and alike(sets[i], sets[j]):
-                found.append((names[i], names[j]))
-                old, new = root[j], root[i]
-                root = [new if r == old else r for r in root]
+    for j, i in np.argwhere(np.tril(open_, -1)).tolist():
+        if root[i] != root[j] and alike(sets[i], sets[j]):
+            found.append((names[i], names[j]))
+            root[root == root[j]] = root[i]
     return found
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each bucket; its rows come one after the other."""
     now, held, found = None, {}, []
+
+    def settled() -> list[tuple[int, int]]:
+        return family_links({n: line for n, (line, _, _) in held.items()}, [p for _, p, _ in held.values()], [s for _, _, s in held.values()])
+
     for batch in batches:
-        for key, name, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, name, line, part, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != now:
-                found += family_links(held)
+                found += settled()
                 now, held = key, {}
-            held[name] = line
+            held[name] = line, part, side
         yield _edges(found)
         found = []
-    yield _edges(family_links(held))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of lines that are alike."""
-    for batch in rows_of(batches, 1_000_000):
-        last, of_last, found = None, set(), []
-        for a, b, mine, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != last:
-                last, of_last = b, shingle_set(theirs)
-            if alike(shingle_set(mine), of_last):
-                found.append((a, b))
-        yield _edges(found)
+    yield _edges(settled())
 
 
 def _resign(level: int):
@@ -208,105 +227,150 @@ def _resign(level: int):
     return run
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _tasks(lines: DataFrame) -> int:
+    """How many tasks at most write what is derived from ``lines``."""
+    return max(TASKS, lines.count() // TASK_LINES)
+
+
+def _shared(rows: DataFrame, tasks: int) -> DataFrame:
     """Rows ``key, name`` whose key several names have."""
     keys = rows.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most"))
-    return rows.join(sized(as_table(keys.where("least < most").select("key"), "shared")), "key")
-
+    return rows.join(sized(as_table(keys.where("least < most").select("key").coalesce(tasks), "shared")), "key")
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Different rows ``key, name`` of buckets of several names, with the bucket's size."""
-    led = as_table(rows.distinct(), "led")
-    sets = led.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("members"))
-    once = sets.where("n > 1").groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
-    return as_table(led.join(sized(as_table(once, "sets")), "key"), "counted")
 
+def _counted(rows: DataFrame, tasks: int, parts: DataFrame | None = None) -> DataFrame:
+    """Different rows ``key, name, part`` of buckets of several parts, with the bucket's size ``n``.
 
-def _texts(docs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
+    ``parts`` are the lines that links join so far; any other line is a part of its own.
+    """
+    led = rows.distinct()
+    if parts is not None:
+        led = _with_part(led, parts)
+    else:
+        led = led.withColumn("part", F.col("name"))
+    led = as_table(led.coalesce(tasks), "led")
+    sets = led.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("members"), F.min("part").alias("least"), F.max("part").alias("most")
+    )
+    once = sets.where("least < most").groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n")
+    return as_table(led.join(sized(as_table(once.coalesce(tasks), "sets")), "key"), "counted")
+
+
+def _with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with the part that each ``name`` is of; ``parts`` has ``id, component``."""
+    parts = parts.select(F.col("id").alias("name"), "component")
+    return rows.join(sized(parts), "name", "left").withColumn("part", F.coalesce("component", "name")).drop("component")
+
+
+def _texts(docs: DataFrame, lines: DataFrame, names: DataFrame, tasks: int) -> DataFrame:
     """``name, line`` of the wanted names, from the first document that has the line."""
-    names = sized(as_table(names, "names"))
+    names = sized(as_table(names.coalesce(tasks), "names"))
     first = lines.join(names, "name").groupBy("name").agg(F.min(F.struct("doc_id", "mark", "pos")).alias("at"))
     wanted = first.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark"))
-    wanted = as_table(wanted.agg(F.collect_list(F.struct("at.pos", "name")).alias("wanted")), "wanted")
+    wanted = as_table(wanted.agg(F.collect_list(F.struct("at.pos", "name")).alias("wanted")).coalesce(tasks), "wanted")
     wanted = sized(wanted, 32 + 16 * F.size("wanted"))
     same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["_mark"])
     held = docs.join(wanted, same).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("x"))
     texts = held.select("x.name", F.trim(F.get("all", F.col("x.pos"))).alias("line"))
-    return as_table(texts.dropDuplicates(["name"]), "texts")
+    return as_table(texts.dropDuplicates(["name"]).coalesce(tasks), "texts")
+
+
+def _chunks(led: DataFrame, bucket: int) -> DataFrame:
+    """Rows ``key, name, part, side``: buckets of ``bucket`` lines at most as they are; larger ones in
+    chunks, to each of which the bucket's leaders are added."""
+    here = ["key", "name", "part"]
+    small = led.where(F.col("n") <= bucket).select(*here)
+    big = led.where(F.col("n") > bucket).withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
+    place = F.pmod("name", F.lit(LEADERS))
+    mine = big.select(F.xxhash64("key", F.pmod(F.xxhash64("name"), F.col("chunks"))).alias("key"), "name", "part")
+    one = F.struct("name", "part")
+    leaders = big.groupBy("key", "chunks").agg(*(F.min(F.when(place == i, one)).alias(f"l{i}") for i in range(LEADERS)))
+    leaders = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+    leaders = leaders.select(F.xxhash64("key", F.col("chunk").cast("bigint")).alias("key"), F.inline("l"))
+    return small.unionByName(mine).unionByName(leaders).withColumn("side", F.lit(0))
 
 
-def _open(held: DataFrame, edges: DataFrame) -> DataFrame:
-    """``key`` of the buckets that their lines' links to leaders do not join to one part.
+def _blocks(rows: DataFrame, bucket: int, tasks: int) -> DataFrame:
+    """Rows ``key, name, part, side``: any two lines of a bucket that are of different parts share a key.
 
-    ``held`` has ``key, name, place, leader``. A line is the set of the leaders it is like;
-    overlapping sets are one part, and after a pass for each leader it is whole.
+    The lines of a bucket's largest part meet the other lines alone, in blocks of about ``bucket`` lines.
     """
-    linked = edges.select(F.col("a").alias("name"), F.col("b").alias("leader"), F.lit(True).alias("linked")).distinct()
-    like = F.when(F.col("linked") | (F.col("name") == F.col("leader")), F.expr("shiftleft(1, place)")).otherwise(0)
-    sets = held.join(linked, ["name", "leader"], "left").groupBy("key", "name").agg(F.bit_or(like).alias("set"))
-    sets = sets.groupBy("key").agg(F.collect_set("set").alias("sets"), F.min("set").alias("part"))
-    for _ in range(LEADERS):
-        grown = F.aggregate("sets", F.col("part"), lambda p, s: F.when(p.bitwiseAND(s) != 0, p.bitwiseOR(s)).otherwise(p))
-        sets = sets.select("key", "sets", grown.alias("part"))
-    return sets.where(F.exists("sets", lambda s: s.bitwiseAND(F.col("part")) == 0)).select("key")
-
-
-def _blocks(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows ``key, name`` in which any two lines of a bucket of ``n`` share a key, each of about ``bucket`` lines."""
-    blocks = F.ceil(2 * F.col("n") / bucket).cast("int")
-    mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "name", "mine", other)
-    return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "name")
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("lines"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("lines", "part")).alias("main"), F.sum("lines").alias("n"))
+    sizes = as_table(sizes.select("key", "main.part", "main.lines", "n").coalesce(tasks), "sizes").withColumnRenamed("part", "main")
+
+    def count(lines: Column) -> Column:
+        return F.ceil(2 * lines / bucket).cast("int")
+
+    rows = rows.select("key", "name", "part").join(sized(sizes), "key").withColumn("m", count(F.col("lines"))).withColumn("o", count(F.col("n") - F.col("lines")))
+    inner = F.col("part") == F.col("main")
+    rows = rows.withColumn("inner", inner).withColumn("mine", F.pmod(F.xxhash64("name"), F.when(inner, F.col("m")).otherwise(F.col("o"))).cast("int"))
+
+    def key(kind: int, first: Column, second: Column) -> Column:
+        return F.xxhash64("key", F.lit(kind), first, second).alias("key")
+
+    def others(which: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(which) - 1)).alias("other")
+
+    mine, other = F.col("mine"), F.col("other")
+    at = ["key", "name", "part", "mine"]
+    held = rows.where("inner").select(*at, others("o")).select(key(1, mine, other), "name", "part", F.lit(1).alias("side"))
+    met = rows.where("not inner").select(*at, others("m")).select(key(1, other, mine), "name", "part", F.lit(2).alias("side"))
+    rest = rows.where("not inner").select(*at, others("o"))
+    side = F.when(mine == other, 0).when(mine < other, 1).otherwise(2).alias("side")
+    rest = rest.select(key(2, F.least(mine, other), F.greatest(mine, other)), "name", "part", side)
+    return held.unionByName(met).unionByName(rest)
+
+
+def _settled(rows: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
+    """Links ``a, b`` that join the parts of buckets ``key, name, part, side``."""
+    rows = rows.join(texts, "name").select("key", "name", "line", "part", "side")
+    return as_table(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, EDGES).coalesce(tasks), "links")
 
 
 def links(docs: DataFrame, lines: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Verified links ``a, b`` between names of lines."""
-    led = _counted(_shared(lines.select(F.explode("bands").alias("key"), "name")))
-    texts = _texts(docs, lines, led.select("name").distinct())
+    tasks = _tasks(lines)
+    led = _counted(_shared(lines.select(F.explode("bands").alias("key"), "name"), tasks), tasks)
+    texts = _texts(docs, lines, led.select("name").distinct(), tasks)
+    allowed = COMPARED * lines.count()
     found = None
     for level in range(1, len(LEVELS) + 1):
-        small = led.where(F.col("n") <= bucket).join(texts, "name").select("key", "name", "line")
-        edges = small.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, EDGES)
+        edges = _settled(_chunks(led, bucket), texts, tasks)
+        found = edges if found is None else found.unionByName(edges)
         big = led.where(F.col("n") > bucket).select("key", "name")
         if big.isEmpty():
-            edges = as_table(edges, "links")
-            return edges if found is None else edges.unionByName(found)
-        part = F.pmod("name", F.lit(LEADERS))
-        leaders = big.groupBy("key").agg(*(F.min(F.when(part == i, F.col("name"))).alias(f"l{i}") for i in range(LEADERS)))
-        leaders = leaders.select("key", F.array_compact(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("leaders"))
-        leaders = sized(as_table(leaders, "leaders"), 16 + 8 * F.size("leaders"))
-        held = big.join(leaders, "key").select("key", "name", F.posexplode("leaders").alias("place", "leader"))
-        pairs = held.where("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
-        left, right = (texts.select(F.col("name").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
-        edges = as_table(edges.unionByName(pairs.mapInArrow(_pairs, EDGES)), "links")
-        found = edges if found is None else found.unionByName(edges)
-        open_ = sized(as_table(_open(held, edges), "open"))
-        if open_.isEmpty():
             break
-        if level == len(LEVELS):
-            rest = as_table(_blocks(led.join(open_, "key"), bucket).join(texts, "name").select("key", "name", "line").repartition("key")
-                            .sortWithinPartitions("key").mapInArrow(_buckets, EDGES), "links")
-            # many blocks and levels find the same links
-            return found.unionByName(rest).distinct()
-        again = texts.join(big.join(open_, "key").select("name"), "name", "left_semi").select("name", "line")
-        led = _counted(again.mapInArrow(_resign(level), "key bigint, name bigint"))
-    return found
+        parts = as_table(components(found, rounds=2, tasks=tasks).coalesce(tasks), "parts")
+        big = as_table(_with_part(big, parts), "big")
+        sizes = big.groupBy("key", "part").agg(F.count("*").alias("lines"))
+        sizes = sizes.groupBy("key").agg(F.sum("lines").alias("n"), F.sum(F.col("lines") * F.col("lines")).alias("joined"))
+        open_ = as_table(sizes.where("n * n > joined").select("key", ((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs")).coalesce(tasks), "open")
+        pairs = open_.agg(F.sum("pairs")).first()[0]
+        if not pairs:
+            break
+        big = big.join(sized(open_.select("key")), "key")
+        if level == len(LEVELS) or pairs <= allowed:
+            found = found.unionByName(_settled(_blocks(big, bucket, tasks), texts, tasks))
+            break
+        again = texts.join(big.select("name"), "name", "left_semi").select("name", "line")
+        led = _counted(again.mapInArrow(_resign(level), "key bigint, name bigint"), tasks, parts)
+    return found.distinct()
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """``doc_id, mark, gone``: positions of the lines to take out of each document that loses any."""
     lines = as_table(signed_lines(docs), "lines")
-    groups = as_table(components(links(docs, lines)).select(F.col("id").alias("name"), "component"), "groups")
+    tasks = _tasks(lines)
+    joined = components(links(docs, lines), tasks=tasks)
+    groups = as_table(joined.select(F.col("id").alias("name"), "component").coalesce(tasks), "groups")
     # lines that stand once and are like no other stay out of all that follows
     several = lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     several = several.join(sized(groups), "name", "left_anti").select("name", F.col("name").alias("component"))
-    several = as_table(groups.unionByName(several), "several")
+    several = as_table(groups.unionByName(several).coalesce(tasks), "several")
     at = F.struct("doc_id", "mark", "pos")
     places = as_table(lines.join(sized(several), "name").select("component", at.alias("at")), "places")
-    first = sized(as_table(places.groupBy("component").agg(F.min("at").alias("kept")), "first"), 48)
+    first = sized(as_table(places.groupBy("component").agg(F.min("at").alias("kept")).coalesce(tasks), "first"), 48)
     gone = places.join(first, "component").where(~F.col("at").eqNullSafe(F.col("kept"))).select("at.*")
     return gone.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone"))
 
